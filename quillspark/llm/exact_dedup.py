@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, scratch_path
+from quillspark.llm.common import keyed_join, materialize, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The state store for the time a stream runs: RocksDB with a fixed share of memory, whatever the number of partitions.
@@ -88,15 +88,15 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     advance_state(spark, path, checkpoint, id_col, text_col, digest_bits)
     hits, _ = materialize(read_state(spark, checkpoint).where("n > 1"), "dedup-hits")
 
-    # the bytes at each locator, for every digest that was hit
-    kept_text = rows.select("file", "row", "norm").join(hits, ["file", "row"]).select("digest", "keep_id", "n", F.col("norm").alias("keep_norm"))
-    kept_text, _ = materialize(kept_text, "dedup-bytes")
-    told, _ = materialize(rows.select("id", "digest", "norm").join(kept_text, "digest").select("id", "digest", (F.col("norm") == F.col("keep_norm")).alias("same")), "dedup-told")
-    clash = told.where(~F.col("same")).select("digest").distinct()
-    plain = rows.select("id", "digest", "sha").join(hits.select("digest", "keep_id", "n"), "digest", "left")
+    # rows with a digest that was hit, and which of them is at the locator
+    found = keyed_join(rows.select("id", "digest", "norm", "file", "row"), hits.toDF("digest", "keep_id", "keep_file", "keep_row", "n"), ["digest"], "inner", 240)
+    found, _ = materialize(found.select("id", "digest", "norm", ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("here")), "dedup-found")
+    kept_text = found.where("here").select("digest", F.col("norm").alias("keep_norm"))
+    told = found.select("digest", "norm").join(kept_text.hint("merge"), "digest").select("digest", (F.col("norm") == F.col("keep_norm")).alias("same"))
+    clash, _ = materialize(told.where(~F.col("same")).select("digest").distinct(), "dedup-clash")
+    plain = keyed_join(rows.select("id", "digest", "sha"), hits.select("digest", "keep_id", "n"), ["digest"], "left", 120)
     out = plain.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"), "digest")
     if clash.take(1):
-        clash, _ = materialize(clash, "dedup-clash")
         again = rows.join(clash, "digest", "left_semi")
         exact = again.groupBy("norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         exact, _ = materialize(exact, "dedup-exact")

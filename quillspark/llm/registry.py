@@ -1,12 +1,18 @@
 """Queries of this subpackage, with SQL where SQL can say the same."""
 
-from quillspark.llm import exact_dedup, mixing
+from quillspark.llm import exact_dedup, line_dedup, mixing, packing, token_store, warc
 
 QUERIES = {
+    "op3_elias_fano_tokens": token_store.query,
+    "op5_bin_completion_packing": packing.query,
     "op6_pivotal_mixing": mixing.query,
+    "op7_dictionary_warc": warc.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
+    "op10_bloom_line_dedup": line_dedup.query,
 }
 
 SQL = {
+    "op7_dictionary_warc": warc.SQL,
     "op9_streaming_exact_dedup": exact_dedup.SQL,
+    "op10_bloom_line_dedup": line_dedup.SQL,
 }
