@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, remove
+from quillspark.llm.common import keyed_join, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of one rounding task.
@@ -133,6 +133,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("mix_key", "id", "source", "size", "source_size", "target", (F.floor("ratio").cast("long") + F.coalesce("extra", F.lit(0))).alias("copies"))
 
 
+def take_mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them; columns as in docs."""
+    mixed = mix_sources(docs).groupBy("mix_key").agg(F.max("copies").cast("int").alias("__copies"))
+    mixed, _ = materialize(mixed.where("__copies <> 1").withColumnRenamed("mix_key", "__mix_key"), "mix-copies")
+    rows = keyed_join(docs.withColumn("__mix_key", mix_key("doc_id", "text", "source")), mixed, ["__mix_key"], "left", 24)
+    return rows.withColumn("__copies", F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1))))).drop("__mix_key", "__copies")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -172,7 +172,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     before, _ = materialize(before, "pack-before")
 
-    def place(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["length", "id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         length = left["length"].to_numpy()
         base = dict(zip(right["length"].tolist(), right["before"].tolist()))

@@ -1,12 +1,16 @@
 """Queries of this subpackage, with SQL where SQL can say the same."""
 
-from quillspark.llm import exact_dedup, line_dedup, mixing, packing, token_store, warc
+from quillspark.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_store, vector_dedup, warc
 
 QUERIES = {
+    "op1_kneser_ney_quality": quality.query,
+    "op2_partition_jaccard_join": jaccard_join.query,
     "op3_elias_fano_tokens": token_store.query,
+    "op4_subword_language_id": language_id.query,
     "op5_bin_completion_packing": packing.query,
     "op6_pivotal_mixing": mixing.query,
     "op7_dictionary_warc": warc.query,
+    "op8_projection_forest_dedup": vector_dedup.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
     "op10_bloom_line_dedup": line_dedup.query,
 }
