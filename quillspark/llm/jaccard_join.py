@@ -170,14 +170,14 @@ def _deal(shards: int, num: int, den: int):
 
 
 _PAYLOAD = "shard int, fp binary, size binary, band binary, slack binary, sig binary, unit binary, weight binary"
-_FOUND = "sig long, a long, b long, na int, nb int, band int, slack int, weight int"
+_FOUND = "sig long, a long, b long, na int, band int, slack int, weight int, slack_b int"
 
 
 def _index(num: int, den: int):
-    """Of one shard: pairs that meet in short lists (sig null), and the entries of long lists (b null)."""
+    """Of one shard: pairs that meet in short lists, by band with the number of meetings, and the entries of long lists (b null)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols, base = [], 0
+        cols = []
         for r in pdf.itertuples():
             fp = np.frombuffer(r.fp, np.int64)
             unit = np.frombuffer(r.unit, "<u2" if len(fp) <= 1 << 16 else "<u4")
@@ -199,13 +199,19 @@ def _index(num: int, den: int):
                     pa.append(at + i)
                     pb.append(at + j)
         pa, pb = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pa, pb))
+        both = size[pa].astype(np.int64) + size[pb]
         fits = np.minimum(size[pa], size[pb]).astype(np.int64) * den >= np.maximum(size[pa], size[pb]).astype(np.int64) * num
-        pa, pb = pa[fits], pb[fits]
-        pairs = pd.DataFrame({"a": fp[pa], "b": fp[pb], "na": size[pa], "nb": size[pb]}).drop_duplicates(["a", "b"])
+        pa, pb, both = pa[fits], pb[fits], both[fits]
+        # meetings that a similar pair can't do without, besides its slack: the band's bound less the pair's own
+        plan = [allocation(low, high, num, den) for low, high in bands(int(size.max(initial=1)) * den // num + 1, num, den)]
+        bound = np.array([apart if not one else -(10**6) for one, _, apart in plan])
+        more = bound[band[pa]] - (den - num) * both // (den + num)
+        pairs = pd.DataFrame({"a": fp[pa], "b": fp[pb], "band": band[pa], "slack": slack[pa] + 1 + more, "slack_b": slack[pb] + 1 + more})
+        pairs = pairs.groupby(["a", "b", "band"], as_index=False).agg(slack=("slack", "max"), slack_b=("slack_b", "max"), weight=("slack", "size"))
         long = np.repeat(count > SHORT_LIST, count)
         lists = pd.DataFrame({"sig": sig[long].view(np.int64), "a": fp[long], "na": size[long], "band": band[long], "slack": slack[long], "weight": weight[long]})
         # whole numbers all the way: a missing column must not turn them into floats
-        names = ("sig", "a", "b", "na", "nb", "band", "slack", "weight")
+        names = ("sig", "a", "b", "na", "band", "slack", "weight", "slack_b")
         full = [pd.DataFrame({c: t[c].astype("Int64") if c in t else pd.array([pd.NA] * len(t), dtype="Int64") for c in names}) for t in (pairs, lists)]
         return pd.concat(full, ignore_index=True)
 
@@ -256,18 +262,24 @@ def jaccard_links(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataF
     shards = max(16, -(-table.count() * 300 // TASK_ENTRIES))
     payload = docs.select("text").mapInPandas(_deal(shards, num, den), _PAYLOAD)
     found, _ = materialize(payload.groupBy("shard").applyInPandas(_index(num, den), _FOUND), "jac-found")
-    pairs, _ = materialize(found.where("b is not null").select("a", "b").distinct(), "jac-pairs")
-
     # of the entries in long lists, those of units that can't give them up
     lists = found.where("b is null")
-    bound, _ = materialize(lists.groupBy("a", "band").agg(F.sum("weight").alias("given"), F.max("slack").alias("slack")).where("given > slack").select("a", "band"), "jac-bound")
-    open_, _ = materialize(keyed_join(lists, bound, ["a", "band"], "left_semi", 24).select("sig", F.col("a").alias("fp"), F.col("na").alias("n")).distinct(), "jac-lists")
+    given, _ = materialize(lists.groupBy("a", "band").agg(F.sum("weight").alias("given"), F.max("slack").alias("slack")), "jac-given")
+    open_, _ = materialize(keyed_join(lists, given.where("given > slack").select("a", "band"), ["a", "band"], "left_semi", 24).select("sig", F.col("a").alias("fp"), F.col("na").alias("n")).distinct(), "jac-lists")
+
+    # similar sets agree in more segments than both can miss in empty ones and long lists
+    met = found.where("b is not null").groupBy("a", "b", "band").agg(F.sum("weight").alias("met"), F.max("slack").alias("ra"), F.max("slack_b").alias("rb"))
+    met = met.join(given.select("a", "band", F.col("given").alias("ga")), ["a", "band"], "left").join(given.select(F.col("a").alias("b"), "band", F.col("given").alias("gb")), ["b", "band"], "left")
+    least = F.greatest(F.col("ra") - F.coalesce("ga", F.lit(0)), F.col("rb") - F.coalesce("gb", F.lit(0)))
+    pairs, _ = materialize(met.where(F.col("met") >= least).select("a", "b").distinct(), "jac-pairs")
 
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(open_.select("fp")).distinct()
     need, _ = materialize(need, "jac-need")
     reps = table.where("fp is not null").groupBy("fp").agg(F.min("row_key").alias("row_key"))
     reps, _ = materialize(reps.join(need.hint("merge"), "fp", "left_semi").select("row_key"), "jac-reps")
-    sets, _ = materialize(_candidate_sets(keyed_join(docs, reps, ["row_key"], "left_semi", 16)).dropDuplicates(["fp"]), "jac-items")
+    sets, _ = materialize(_candidate_sets(keyed_join(docs, reps, ["row_key"], "left_semi", 16)), "jac-items")
+    if sets.count() > reps.count():  # the same row more than once
+        sets, _ = materialize(sets.dropDuplicates(["fp"]), "jac-items")
 
     told, _ = materialize(_verify(pairs, sets, num, den), "jac-told")
     hubs_each, turn = 1, 0
