@@ -60,6 +60,8 @@ def fuzzy_pairs(keys: DataFrame, key: str = "key", least: float = FUZZY) -> Data
     left, right = k.select(F.col(key).alias("a")), k.select(F.col(key).alias("b"))
     wa, wb = F.split("a", " "), F.split("b", " ")
     near = left.join(right, (F.left("a", F.lit(1)) == F.left("b", F.lit(1))) & (F.abs(F.length("a") - F.length("b")) <= 3) & (F.col("a") < F.col("b")))
+    # a ratio r leaves (1 - r) * (length of both) edits at most, which the JVM can tell before Python looks
+    near = near.where(F.levenshtein("a", "b") <= F.floor((1 - least) * (F.length("a") + F.length("b")) + 1e-9))
     near = near.where((F.size(F.array_except(wa, wb)) > 0) & (F.size(F.array_except(wb, wa)) > 0))
 
     @F.pandas_udf("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,26 +23,42 @@ def cover_files(ranked: DataFrame, chosen: DataFrame, most: int = 8, question: s
     return both.withColumn("__n", F.row_number().over(Window.partitionBy(question).orderBy("__late", rank))).where(F.col("__n") <= most).drop("__n", "__late")
 
 
-def best_window(sentences: Column, most: int = 900) -> Column:
-    """(start, end, score, text) of the neighbouring sentences with the largest sum of 1 - i / 2n within `most` characters.
+def best_span(sentences: list[str], most: int = 900) -> tuple[int, int, float]:
+    """(start, end, score) of the neighbours with the largest sum of 1 - i / 2n within `most` characters; (0, 1) if none fits.
 
-    Earlier starts win ties, then earlier ends. If no sentence fits, the first stands alone.
+    Scores are positive, so for each start the longest span that fits is best; the first of equal spans wins.
     """
-    n = F.size(sentences)
-    score = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.round(1.0 - 0.5 * i / n, 4))
-    lens = F.transform(sentences, F.length)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-    def window(a: Column, k: Column) -> Column:
-        part = F.slice(score, a + 1, k)
-        return F.struct(total(part).alias("score"), (-a).alias("a"), (-k).alias("k"), F.aggregate(F.slice(lens, a + 1, k), F.lit(0), lambda s, x: s + x).alias("chars"))
-
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(F.sequence(F.lit(1), n - a), lambda k: window(a, k))))
-    best = F.array_max(F.filter(spans, lambda w: w["chars"] <= most))
-    none = F.struct(F.get(score, F.lit(0)).cast("double").alias("score"), F.lit(0).alias("a"), F.lit(-1).alias("k"), F.lit(0).alias("chars"))
-    w = F.coalesce(best, none)
-    out = F.struct((-w["a"]).alias("start"), (-w["a"] - w["k"]).alias("end"), F.round(w["score"], 4).alias("score"), F.array_join(F.slice(sentences, -w["a"] + 1, -w["k"]), " ").alias("text"))
-    return F.when(n > 0, out)
+    n = len(sentences)
+    score = [round(1.0 - 0.5 * i / n, 4) for i in range(n)]
+    best, end, chars, held = None, 0, 0, 0.0
+    for a in range(n):
+        if end < a:
+            end, chars, held = a, 0, 0.0
+        while end < n and chars + len(sentences[end]) <= most:
+            chars, held, end = chars + len(sentences[end]), held + score[end], end + 1
+        if end > a:
+            if best is None or held > best[2] + 1e-9:
+                best = (a, end, held)
+            chars, held = chars - len(sentences[a]), held - score[a]
+    return best or (0, 1, score[0])
+
+
+def best_window(sentences: Column, most: int = 900) -> Column:
+    """(start, end, score, text) of the best span of each array of sentences; null for an empty one."""
+
+    @F.pandas_udf("start int, end int, score double, text string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            if x is None or not len(x):
+                rows.append((None, None, None, None))
+                continue
+            a, b, v = best_span(list(x), most)
+            rows.append((a, b, round(v, 4), " ".join(x[a:b])))
+        out = pd.DataFrame(rows, columns=["start", "end", "score", "text"])
+        return out.astype({"start": "Int32", "end": "Int32", "score": "Float64"})
+
+    return run(sentences)
 
 
 def evidence_sentences(text: Column, most: int = 900) -> Column:

@@ -55,8 +55,8 @@ def bm25(chunks: DataFrame, questions: DataFrame, id_col: str, text: Column) ->
 
 
 def top(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", ties: str = "id") -> DataFrame:
-    """The k best rows for each question, with their rank; ties by the smaller id."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), ties)
+    """The k best rows for each question, with their rank; scores equal to nine places go by the smaller id."""
+    w = Window.partitionBy(by).orderBy(F.round(score, 9).desc(), ties)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions.vectors import bag_cosine_distance
 
 
 def sections_txt(files: DataFrame, name_col: str = "name", content_col: str = "content", separator: str = r"\n{2,}") -> DataFrame:
@@ -31,46 +34,53 @@ def sections_markdown(files: DataFrame, name_col: str = "name", content_col: str
     return out.where("content <> ''")
 
 
-def _total(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x)
-
-
 def cut_points(distances: Column, n: Column, deviations: float = 1.0, least: int = 2, most: int = 15) -> Column:
     """Where chunks of n sentences begin after the first, from the distances of neighbours.
 
     A cut falls before sentence i + 1 where distance i exceeds mean + deviations * population deviation and the chunk has
-    `least` sentences, or where it has `most`.
+    `least` sentences, or where it has `most`. Mean and limit ride in the folds' states, so each is computed once.
     """
     size = F.size(distances)
-    mean = _total(distances) / size
-    spread = F.sqrt(_total(F.transform(distances, lambda x: (x - mean) * (x - mean))) / size)
-    limit = mean + deviations * spread
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+    mean = F.aggregate(distances, F.lit(0.0), lambda s, x: s + x) / size
+    spread = F.aggregate(distances, F.struct(mean.alias("m"), F.lit(0.0).alias("v")), lambda s, x: F.struct(s["m"].alias("m"), (s["v"] + (x - s["m"]) * (x - s["m"])).alias("v")), lambda s: s["m"] + deviations * F.sqrt(s["v"] / size))
+    start = F.struct(spread.alias("limit"), F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(s: Column, x: Column) -> Column:
+        held = s["i"] + 1 - s["at"]
+        cut = ((x > s["limit"]) & (held >= least)) | (held >= most)
+        return F.struct(s["limit"].alias("limit"), (s["i"] + 1).alias("i"), F.when(cut, s["i"] + 1).otherwise(s["at"]).alias("at"), F.when(cut, F.concat(s["cuts"], F.array(s["i"] + 1))).otherwise(s["cuts"]).alias("cuts"))
+
+    return F.when(n > 2, F.aggregate(distances, start, step)["cuts"]).otherwise(F.array().cast("array<int>"))
+
+
+def bag_distances(sentences: Column) -> Column:
+    """1 - cosine of the token counts of neighbouring sentences; 1 where one has no tokens."""
 
-    def step(s: Column, i: Column) -> Column:
-        held = i + 1 - s["at"]
-        cut = ((F.get(distances, i) > limit) & (held >= least)) | (held >= most)
-        return F.struct(F.when(cut, i + 1).otherwise(s["at"]).alias("at"), F.when(cut, F.concat(s["cuts"], F.array(i + 1))).otherwise(s["cuts"]).alias("cuts"))
+    @F.pandas_udf("array<double>")
+    def run(tokens: pd.Series) -> pd.Series:
+        out = []
+        for sents in tokens:
+            bags = [Counter(s) for s in sents]
+            norms = [math.sqrt(sum(c * c for c in b.values())) for b in bags]
+            out.append([1.0 - sum(c * b[t] for t, c in a.items()) / (na * nb) if na and nb else 1.0 for a, b, na, nb in zip(bags, bags[1:], norms, norms[1:])])
+        return pd.Series(out)
 
-    cuts = F.aggregate(F.sequence(F.lit(0), n - 2), start, step)["cuts"]
-    return F.when(n > 2, cuts).otherwise(F.array().cast("array<int>"))
+    return run(F.transform(sentences, T.content_tokens))
 
 
-def semantic_chunks(sections: DataFrame, keys: list[str], content_col: str = "content", distance=None, sentences: Column | None = None) -> DataFrame:
+def semantic_chunks(sections: DataFrame, keys: list[str], content_col: str = "content", distances=bag_distances) -> DataFrame:
     """(keys, cut, start, end, text): sentences grouped where neighbours are alike.
 
-    `distance` takes two sentence columns; the default compares counts of content tokens. Sections of one or two
-    sentences are one chunk; sections without sentences give none.
+    `distances` maps an array of sentences to the distances of neighbours, as an embedding model would; the default
+    compares counts of content tokens. Sections of one or two sentences are one chunk; without sentences they give none.
     """
-    distance = distance or (lambda a, b: bag_cosine_distance(T.content_tokens(a), T.content_tokens(b)))
-    found = T.sentences_chunker(F.col(content_col)) if sentences is None else sentences
-    rows = sections.select(*keys, found.alias("ss")).withColumn("n", F.size("ss")).where("n > 0")
-    near = F.when(F.col("n") > 2, F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: distance(F.get("ss", i), F.get("ss", i + 1)))).otherwise(F.array().cast("array<double>"))
-    rows = rows.withColumn("ds", near).withColumn("cuts", cut_points(F.col("ds"), F.col("n")))
-    edges = F.concat(F.array(F.lit(0)), F.col("cuts"), F.array(F.col("n")))
-    spans = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    rows = rows.select(*keys, "ss", F.posexplode(spans).alias("cut", "span"))
-    return rows.select(*keys, "cut", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.array_join(F.slice("ss", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), " ").alias("text"))
+    rows = sections.select(*keys, T.sentences_chunker(F.col(content_col)).alias("ss")).withColumn("n", F.size("ss")).where("n > 0")
+    rows = rows.withColumn("ds", distances(F.col("ss")))
+    edges = F.concat(F.array(F.lit(0)), cut_points(F.col("ds"), F.col("n")), F.array(F.col("n")))
+    # the sentences pass the fold as they are; spans come from the cuts alone
+    rows = rows.select(*keys, "ss", edges.alias("edges")).select(*keys, "ss", "edges", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("cut", "start"))
+    end = F.get("edges", F.col("cut") + 1)
+    return rows.select(*keys, "cut", "start", end.alias("end"), F.array_join(F.slice("ss", F.col("start") + 1, end - F.col("start")), " ").alias("text"))
 
 
 def number_chunks(chunks: DataFrame, session_col: str, order: list[str]) -> DataFrame:
