@@ -93,8 +93,9 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     found = keyed_join(rows.select("id", "digest", "norm", "file", "row"), hits.toDF("digest", "keep_id", "keep_file", "keep_row", "n"), ["digest"], "inner", 240)
     found, _ = materialize(found.select("id", "digest", "norm", ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("here")), "dedup-found")
     kept_text = found.where("here").select("digest", F.col("norm").alias("keep_norm"))
-    told = found.select("digest", "norm").join(kept_text.hint("merge"), "digest").select("digest", (F.col("norm") == F.col("keep_norm")).alias("same"))
-    clash, _ = materialize(told.where(~F.col("same")).select("digest").distinct(), "dedup-clash")
+    # written before it is made distinct, so that the join may deal a hot digest to many tasks
+    differ, _ = materialize(found.select("digest", "norm").join(kept_text.hint("merge"), "digest").where("norm <> keep_norm").select("digest"), "dedup-differ")
+    clash, _ = materialize(differ.distinct(), "dedup-clash")
     plain = keyed_join(rows.select("id", "digest", "sha"), hits.select("digest", "keep_id", "n"), ["digest"], "left", 120)
     out = plain.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"), "digest")
     if clash.take(1):
