@@ -69,6 +69,19 @@ def null_safe_id(name: str):
     return F.xxhash64(F.col(name).isNull(), F.col(name))
 
 
+def release() -> None:
+    """Give freed memory of this worker back to the system: workers outlive tasks, and their leftovers add up."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -111,7 +124,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def chunks_of(texts: list, most: int = 4 << 20):
+def chunks_of(texts: list, most: int = 1 << 20):
     """Index ranges of texts that hold about `most` bytes or characters together; a longer text stands alone."""
     begin = total = 0
     for i, t in enumerate(texts):

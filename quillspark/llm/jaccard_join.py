@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, word_hashes
+from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, release, word_hashes
 from quillspark.llm.components import components
 
 #: Lists of up to this many sets are paired out; of longer ones the sets that can do without give the list up.
@@ -150,7 +150,7 @@ def _deal(shards: int, num: int, den: int):
     def run(batches):
         for pdf in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            for a, b in chunks_of(texts, 4 << 20):
+            for a, b in chunks_of(texts, 1 << 20):
                 # equal sets of a block go in once
                 sets = list({fingerprint(s): s for s in shingle_sets(texts[a:b]) if len(s)}.items())
                 if not sets:
@@ -165,6 +165,7 @@ def _deal(shards: int, num: int, den: int):
                     u, inv = np.unique(unit[m], return_inverse=True)
                     rows.append((s, fp[who[u]].tobytes(), size[u].astype("<i4").tobytes(), band[u].astype("<i2").tobytes(), slack[u].astype("<i4").tobytes(), sig[m].tobytes(), inv.astype("<u2" if len(u) <= 1 << 16 else "<u4").tobytes(), weight[m].astype(np.uint8).tobytes()))
                 yield pd.DataFrame(rows, columns=["shard", "fp", "size", "band", "slack", "sig", "unit", "weight"])
+            release()
 
     return run
 
@@ -224,10 +225,11 @@ def _indexed_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            for a, b in chunks_of(texts, 4 << 20):
+            for a, b in chunks_of(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b])
                 fp = pd.array([fingerprint(s) if len(s) else pd.NA for s in sets], dtype="Int64")
                 yield pd.DataFrame({"row_key": pdf["row_key"].iloc[a:b].to_numpy(), "id": pdf["id"].iloc[a:b].to_numpy(), "n_shingles": [len(s) for s in sets], "fp": fp})
+            release()
 
     return docs.mapInPandas(run, f"row_key long, id {dict(docs.dtypes)['id']}, n_shingles long, fp long")
 
@@ -236,9 +238,10 @@ def _candidate_sets(rows: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            for a, b in chunks_of(texts, 2 << 20):
+            for a, b in chunks_of(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b])
                 yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "items": [s.view(np.int64) for s in sets]})
+            release()
 
     return rows.select("text").mapInPandas(run, "fp long, items array<long>")
 

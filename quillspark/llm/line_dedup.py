@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks_of, keyed_join, materialize, mix
+from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, release
 
 #: Bits of a filter for each distinct line of a task, and in all; beyond MAX_BITS more lines become suspects, and none is lost.
 BITS_PER_LINE, MAX_BITS, PROBES, SHARDS = 12, 1 << 28, 4, 16
@@ -53,7 +53,7 @@ def _hashes(least: int):
     def run(batches):
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            for a, b in chunks_of(texts, 32 << 20):
+            for a, b in chunks_of(texts, 8 << 20):
                 h = np.array([_hash(k) for t in texts[a:b] for k in line_keys(t, least)], np.uint64)
                 once, n = np.unique(h, return_counts=True)
                 shard = _shard(once)
@@ -97,7 +97,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         maps = {s: np.frombuffer(b, np.uint8) for s, b in again.value.items()}
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            for a, b in chunks_of(texts, 16 << 20):
+            for a, b in chunks_of(texts, 4 << 20):
                 found = [(r, k, v) for r, t in zip(range(a, b), texts[a:b]) for k, v in line_keys(t, least_chars).items()]
                 h = np.array([_hash(k) for _, k, _ in found], np.uint64)
                 keep, shard = np.zeros(len(h), bool), _shard(h)
@@ -107,6 +107,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = [found[i] for i in np.flatnonzero(keep)]
                 at = [x[0] for x in found]
                 yield pd.DataFrame({"id": pdf["id"].iloc[at].to_numpy(), "row_key": pdf["row_key"].iloc[at].to_numpy(), "line": [x[1] for x in found], "at": [x[2] for x in found]})
+            release()
 
     kind = dict(docs.dtypes)[id_col]
     lines, _ = materialize(rows.mapInPandas(suspects, f"id {kind}, row_key long, line binary, at array<int>"), "line-suspects")

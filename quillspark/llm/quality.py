@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks_of, keyed_join, materialize, mix
+from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, release
 
 #: A key holds three code points of 21 bits; these stand for no character, the start and the end.
 NONE, START, END = 0x1FFFFF, 0x1FFFFD, 0x1FFFFE
@@ -64,12 +64,13 @@ def _count(batches):
     held: list[pd.DataFrame] = []
     for pdf in batches:
         texts = [t for t in pdf["text"] if t]
-        for a, b in chunks_of(texts, 2 << 20):
+        for a, b in chunks_of(texts, 1 << 19):
             _, key, count = trigram_counts(texts[a:b])
             u, where = np.unique(key, return_inverse=True)
             held.append(pd.DataFrame({"k": u, "n": np.bincount(where, count).astype(np.int64)}))
         if held:
             held = [pd.concat(held).groupby("k", as_index=False).sum()]
+        release()
     yield from held
 
 
@@ -152,7 +153,7 @@ def _deal(cells: int):
     def run(batches):
         for pdf in batches:
             ids, texts = pdf["row_key"].to_numpy(), [t or "" for t in pdf["text"]]
-            for a, b in chunks_of(texts, 2 << 20):
+            for a, b in chunks_of(texts, 1 << 19):
                 doc, key, count = trigram_counts(texts[a:b])
                 sets = [(doc, key, count), _lower(doc, key, count, 2), _lower(doc, key, count, 1)]
                 doc, key, count = (np.concatenate(x) for x in zip(*sets))
@@ -169,6 +170,7 @@ def _deal(cells: int):
                     packed = _pack(names[mine], runs.astype("<u4"), doc[m].astype("<u2" if b - a <= 1 << 16 else "<u4"), count[m].astype("<u4"))
                     rows.append((s, int(ids[a] % cells), ids[a:b].tobytes(), b - a, *packed))
                 yield pd.DataFrame(rows, columns=["shard", "cell", "rows", "n", "keys", "runs", "docs", "counts"])
+            release()
 
     return run
 

@@ -9,7 +9,7 @@ import types
 import numpy as np
 
 #: Words that a worker remembers; beyond that it forgets all and starts anew, which changes no result.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 
 # Letters of these blocks keep to themselves: lower case and composition go by single letters.
 _FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")
