@@ -96,7 +96,7 @@ def escape_markdown(c: Column) -> Column:
 
 def script_safe(c: Column) -> Column:
     """JSON text that may stand within a script element."""
-    for ch in "&<>  ":
+    for ch in ("&", "<", ">", "\u2028", "\u2029"):
         c = F.replace(c, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
     return c
 
