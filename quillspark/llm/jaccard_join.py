@@ -6,16 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, release, word_hashes
+from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, release, remove, word_hashes
 from quillspark.llm.components import components
 
 #: Lists of up to this many sets are paired out; of longer ones the sets that can do without give the list up.
 SHORT_LIST = 12
 #: Signatures that one index task should hold.
 TASK_ENTRIES = 2_000_000
+#: Turns in which long lists are held against hubs before the rest is compared in blocks.
+HUB_TURNS = 2
+#: Members of a long list that make up a block.
+BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +50,20 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ _M).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in at least 2 len(s) buckets, as words; two sets differ in no fewer elements than parities."""
+    bits = 64 << max(0, (2 * len(s) - 1).bit_length() - 6)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Parities as if for fewer buckets."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def most_apart(a: int, b: int, num: int, den: int) -> int:
     """How many elements sets of a and b elements with Jaccard >= num / den can differ in."""
     return (den - num) * (a + b) // (den + num)
@@ -240,14 +258,66 @@ def _candidate_sets(rows: DataFrame) -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
             for a, b in chunks_of(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b])
-                yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "items": [s.view(np.int64) for s in sets]})
+                yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "parity": [parities(s) for s in sets], "items": [s.view(np.int64) for s in sets]})
             release()
 
-    return rows.select("text").mapInPandas(run, "fp long, items array<long>")
+    return rows.select("text").mapInPandas(run, "fp long, n int, parity array<long>, items array<long>")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities let them be similar: whole sets are only sent for these."""
+    side = lambda k: sets.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")).hint("merge")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+
+    def fold(c: str):
+        half = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    # sizes that are this near have as many words, or one has twice the other's
+    pa = F.when(F.size("pa") > F.size("pb"), fold("pa")).otherwise(F.col("pa"))
+    pb = F.when(F.size("pb") > F.size("pa"), fold("pb")).otherwise(F.col("pb"))
+    apart = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    return both.where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+
+
+def _in_blocks(num: int, den: int):
+    """Of pairs of blocks of lists: the pairs of sets in different components whose sizes and parities let them be similar."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, lo, hi), g in pdf.groupby(["sig", "lo", "hi"]):
+            left = (g["block"] == lo).to_numpy()
+            right = (g["block"] == hi).to_numpy()
+            words = min(map(len, g["parity"]))
+            par = np.stack([folded(np.asarray(x), words) for x in g["parity"]])
+            fp, n, root = (g[c].to_numpy() for c in ("fp", "n", "root"))
+            x, y = np.flatnonzero(left), np.flatnonzero(right)
+            step = max(1, (1 << 20) // max(1, len(y) * words))
+            for at in range(0, len(x), step):
+                i = x[at : at + step]
+                apart = np.bitwise_count(par[i][:, None] ^ par[y][None]).sum(2, dtype=np.int64)
+                ok = (apart * (num + den) <= (n[i][:, None].astype(np.int64) + n[y]) * (den - num)) & (root[i][:, None] != root[y])
+                u, v = np.nonzero(ok)
+                found.append(np.stack([np.minimum(fp[i[u]], fp[y[v]]), np.maximum(fp[i[u]], fp[y[v]])], 1))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
+
+
+def _block_pairs(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of lists, (sig, fp, n, root): each block of a list meets each other in a task of its own."""
+    many = now.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("sig", "blocks")
+    rows = now.join(many.hint("merge"), "sig").join(sets.select("fp", "parity").hint("merge"), "fp").withColumn("block", F.expr("pmod(xxhash64(fp), blocks)").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("sig", "fp", "n", "root", "parity", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    cells = max(1, -(-now.count() // BLOCK))
+    return rows.groupBy(F.expr(f"pmod(xxhash64(sig, lo, hi), {cells})").alias("cell")).applyInPandas(_in_blocks(num, den), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) and whether they link, by their whole sets."""
+    sets = sets.select("fp", "items")
     left = pairs.join(sets.toDF("a", "sa").hint("merge"), "a")
     both = left.join(sets.toDF("b", "sb").hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -264,49 +334,87 @@ def jaccard_links(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataF
     table, _ = materialize(_indexed_sets(docs), "jac-sets")
     shards = max(16, -(-table.count() * 300 // TASK_ENTRIES))
     payload = docs.select("text").mapInPandas(_deal(shards, num, den), _PAYLOAD)
-    found, _ = materialize(payload.groupBy("shard").applyInPandas(_index(num, den), _FOUND), "jac-found")
-    # of the entries in long lists, those of units that can't give them up
+    found, at_found = materialize(payload.groupBy("shard").applyInPandas(_index(num, den), _FOUND), "jac-found")
+    # a unit gives up its longest lists, as far as its slack goes. All go by one order of lists: what either of two sets
+    # gives up of the lists they meet in is then what one of them does
     lists = found.where("b is null")
-    given, _ = materialize(lists.groupBy("a", "band").agg(F.sum("weight").alias("given"), F.max("slack").alias("slack")), "jac-given")
-    open_, _ = materialize(keyed_join(lists, given.where("given > slack").select("a", "band"), ["a", "band"], "left_semi", 24).select("sig", F.col("a").alias("fp"), F.col("na").alias("n")).distinct(), "jac-lists")
+    given, at_given = materialize(lists.groupBy("a", "band").agg(F.sum("weight").alias("given"), F.max("slack").alias("slack")), "jac-given")
+    short, at_short = materialize(given.where("given > slack").select("a", "band"), "jac-short")
+    lengths, at_lengths = materialize(lists.groupBy("sig").agg(F.count("*").alias("length")), "jac-lengths")
+    kept = keyed_join(keyed_join(lists, short, ["a", "band"], "left_semi", 24), lengths, ["sig"], "inner", 24)
+    order = Window.partitionBy("a", "band").orderBy(F.desc("length"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumn("sum", F.sum("weight").over(order)).where("sum > slack")
+    open_, at_open = materialize(kept.select("sig", F.col("a").alias("fp"), F.col("na").alias("n")).distinct(), "jac-lists")
 
     # similar sets agree in more segments than both can miss in empty ones and long lists
     met = found.where("b is not null").groupBy("a", "b", "band").agg(F.sum("weight").alias("met"), F.max("slack").alias("ra"), F.max("slack_b").alias("rb"))
     met = met.join(given.select("a", "band", F.col("given").alias("ga")), ["a", "band"], "left").join(given.select(F.col("a").alias("b"), "band", F.col("given").alias("gb")), ["b", "band"], "left")
     least = F.greatest(F.col("ra") - F.coalesce("ga", F.lit(0)), F.col("rb") - F.coalesce("gb", F.lit(0)))
-    pairs, _ = materialize(met.where(F.col("met") >= least).select("a", "b").distinct(), "jac-pairs")
+    pairs, at_pairs = materialize(met.where(F.col("met") >= least).select("a", "b").distinct(), "jac-pairs")
+    remove(spark, at_found, at_given, at_short, at_lengths)
 
     need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(open_.select("fp")).distinct()
-    need, _ = materialize(need, "jac-need")
+    need, at_need = materialize(need, "jac-need")
     reps = table.where("fp is not null").groupBy("fp").agg(F.min("row_key").alias("row_key"))
-    reps, _ = materialize(reps.join(need.hint("merge"), "fp", "left_semi").select("row_key"), "jac-reps")
-    sets, _ = materialize(_candidate_sets(keyed_join(docs, reps, ["row_key"], "left_semi", 16)), "jac-items")
+    reps, at_reps = materialize(reps.join(need.hint("merge"), "fp", "left_semi").select("row_key"), "jac-reps")
+    sets, at_sets = materialize(_candidate_sets(keyed_join(docs, reps, ["row_key"], "left_semi", 16)), "jac-items")
     if sets.count() > reps.count():  # the same row more than once
-        sets, _ = materialize(sets.dropDuplicates(["fp"]), "jac-items")
+        old = at_sets
+        sets, at_sets = materialize(sets.dropDuplicates(["fp"]), "jac-items")
+        remove(spark, old)
+    remove(spark, at_need, at_reps)
+
+    near, at_near = materialize(_close(pairs, sets, num, den), "jac-near")
+    # one pair of each set first; then those that aren't joined by these
+    told, at_told = materialize(_verify(near.groupBy("a").agg(F.min("b").alias("b")), sets, num, den), "jac-told")
+
+    def joined() -> tuple[DataFrame, str]:
+        return materialize(components(told.where("linked").select("a", "b")), "jac-roots")
+
+    def tell(fresh: DataFrame, *spent: str) -> None:
+        nonlocal told, at_told
+        old = at_told
+        told, at_told = materialize(told.unionByName(_verify(fresh, sets, num, den)), "jac-told")
+        remove(spark, old, *spent)
+
+    roots, at_roots = joined()
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")).hint("merge")
+    rest = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest, at_rest = materialize(rest.join(told.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "jac-rest")
+    tell(rest, at_rest, at_near, at_pairs, at_roots)
 
-    told, _ = materialize(_verify(pairs, sets, num, den), "jac-told")
     hubs_each, turn = 1, 0
     while True:
-        links = told.where("linked").select("a", "b")
-        roots, _ = materialize(components(links), "jac-roots")
-        if not open_.take(1):
+        roots, at_roots = joined()
+        if turn > HUB_TURNS or not open_.take(1):
             break
         now = open_.join(roots.toDF("fp", "root").hint("merge"), "fp", "left").select("sig", "fp", "n", F.coalesce("root", "fp").alias("root"))
-        now, _ = materialize(now, "jac-now")
+        now, at_now = materialize(now, "jac-now")
+        if turn == HUB_TURNS:
+            fresh = _block_pairs(now, sets, num, den)
+            fresh, at_fresh = materialize(fresh.join(told.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "jac-fresh")
+            tell(fresh, at_fresh, at_now, at_roots)
+            turn += 1
+            continue
         # in each list that more than one component meets in, some sets by a common order, so that lists share them
         picks = [F.min(F.struct(F.xxhash64("fp", F.lit(turn * 1000 + i)).alias("o"), "fp", "n", "root")) for i in range(hubs_each)]
         hubs = now.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.array_distinct(F.array(*picks)).alias("hubs")).where("r1 < r2")
-        hubs, _ = materialize(hubs.select("sig", F.explode("hubs").alias("h")).select("sig", F.col("h.fp").alias("hub"), F.col("h.n").alias("hn"), F.col("h.root").alias("hroot")), "jac-hubs")
+        hubs, at_hubs = materialize(hubs.select("sig", F.explode("hubs").alias("h")).select("sig", F.col("h.fp").alias("hub"), F.col("h.n").alias("hn"), F.col("h.root").alias("hroot")), "jac-hubs")
         if not hubs.take(1):
+            remove(spark, at_now, at_hubs)
             break
         fits = (F.col("root") != F.col("hroot")) & (F.least("n", "hn") * den >= F.greatest("n", "hn") * num)
         fresh = now.join(hubs.hint("merge"), "sig").where(fits).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-        fresh, _ = materialize(fresh.join(told.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "jac-fresh")
-        told, _ = materialize(told.unionByName(_verify(fresh, sets, num, den)), "jac-told")
+        fresh, at_fresh = materialize(fresh.join(told.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "jac-fresh")
+        close, at_close = materialize(_close(fresh, sets, num, den), "jac-close")
         # a list goes on without its hubs, which have now been held against all others of it
         still = now.join(hubs.select("sig").distinct().hint("merge"), "sig", "left_semi").select("sig", "fp", "n")
-        open_, _ = materialize(still.join(hubs.select("sig", F.col("hub").alias("fp")).hint("merge"), ["sig", "fp"], "left_anti"), "jac-lists")
-        hubs_each, turn = min(hubs_each * 3, 100), turn + 1
+        old = at_open
+        open_, at_open = materialize(still.join(hubs.select("sig", F.col("hub").alias("fp")).hint("merge"), ["sig", "fp"], "left_anti"), "jac-lists")
+        tell(close, at_close, at_fresh, at_hubs, at_now, old, at_roots)
+        hubs_each, turn = hubs_each * 3, turn + 1
+    remove(spark, at_open, at_sets)
+    links = told.where("linked").select("a", "b")
     return table, links, roots
 
 
@@ -315,8 +423,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Sets link when den * intersection >= num * union, exactly. Similar sets differ in few shingles; shingles are hashed
     to more segments than that, by band of set size, so that two similar sets agree in a whole segment, or in one but
-    for a single deletion. Signatures of segments are indexed in shards. Entries of crowded segments are only kept for
-    sets that have too few others; all candidates are verified on whole sets.
+    for a single deletion. Signatures of segments are indexed in shards. Sets give up their most crowded segments as far
+    as they can do without; what is left of them is held against a few hubs and then compared in blocks. Candidates whose
+    parities already differ in too much go; all others are verified on whole sets.
 
     Null texts and texts without words have empty sets, which link with nothing. Equal sets are one class. component_id
     is the smallest id reachable; null ids are ignored by it (null if there is no other), and repeated rows are members

@@ -101,9 +101,12 @@ def test_jaccard_groups(docs, doc_rows):
     assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == brute_groups(doc_rows)
 
 
-def test_jaccard_long_lists(spark, monkeypatch):
-    """Chains of near copies and a passage that many share, with lists so short that most go by hubs."""
+@pytest.mark.parametrize("hub_turns", [0, 2])
+def test_jaccard_long_lists(spark, monkeypatch, hub_turns):
+    """Chains of near copies and a passage that many share, with lists so short that most go by hubs or blocks."""
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "HUB_TURNS", hub_turns)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = np.random.default_rng(1)
     passage = [f"p{i}" for i in range(30)]
     rows, text = [], [f"w{i}" for i in range(120)]
@@ -122,6 +125,19 @@ def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_groups(empty).collect() == []
 
 
+def test_parities_differ_in_no_more():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 31, 32, 33, 64, 65, 300, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for gone in {0, n // 10, n // 2, n}:
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, gone // 2).astype(np.uint64)]))
+            if len(b):
+                x, y = jaccard_join.parities(a), jaccard_join.parities(b)
+                words = min(len(x), len(y))
+                both = jaccard_join.folded(x, words) ^ jaccard_join.folded(y, words)
+                assert np.bitwise_count(both.view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_signatures_meet():
     """Whatever similar sets differ in, they share a signature in some band."""
     rng = np.random.default_rng(2)
