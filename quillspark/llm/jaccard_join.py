@@ -289,7 +289,8 @@ def _in_blocks(num: int, den: int):
             left = (g["block"] == lo).to_numpy()
             right = (g["block"] == hi).to_numpy()
             words = min(map(len, g["parity"]))
-            par = np.stack([folded(np.asarray(x), words) for x in g["parity"]])
+            # unsigned: numpy counts the bits of the absolute value otherwise
+            par = np.stack([folded(np.asarray(x, np.int64), words) for x in g["parity"]]).view(np.uint64)
             fp, n, root = (g[c].to_numpy() for c in ("fp", "n", "root"))
             x, y = np.flatnonzero(left), np.flatnonzero(right)
             step = max(1, (1 << 20) // max(1, len(y) * words))

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillspark.llm import exact_dedup, jaccard_join, line_dedup, vector_dedup
@@ -138,6 +139,22 @@ def test_parities_differ_in_no_more():
                 assert np.bitwise_count(both.view(np.uint64)).sum() <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_blocks_find_all_pairs(blocks):
+    """Blocks lose no pair of similar sets in different components, near the limit too."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 140).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in rng.integers(0, 20, 60)]
+    block, root = np.arange(60) % blocks, np.arange(60) // 2
+    rows = [(1, lo, hi, block[i], i, len(sets[i]), root[i], jaccard_join.parities(sets[i])) for lo in range(blocks) for hi in range(lo, blocks) for i in range(60) if block[i] in (lo, hi)]
+    got = {tuple(r) for r in jaccard_join._in_blocks(80, 100)(pd.DataFrame(rows, columns=["sig", "lo", "hi", "block", "fp", "n", "root", "parity"])).to_numpy().tolist()}
+    for j in range(60):
+        for i in range(j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                assert ((i, j) in got) == (root[i] != root[j])
+
+
 def test_signatures_meet():
     """Whatever similar sets differ in, they share a signature in some band."""
     rng = np.random.default_rng(2)
