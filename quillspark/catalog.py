@@ -452,7 +452,7 @@ def acronym_aliases(spark, d):
 
 
 def _tagged(spark, d) -> DataFrame:
-    t = read(spark, d, "documents").select("doc_id", "source", F.explode(F.array_distinct(T.content_tokens(F.left("text", F.lit(200))))).alias("entity"))
+    t = read(spark, d, "documents").select("doc_id", "source", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("entity"))
     return t
 
 
@@ -461,7 +461,7 @@ _TAGGED = f"t AS (SELECT DISTINCT doc_id, source, unnest({_tokens('left(text, 20
 
 @query(f"WITH {_TAGGED} SELECT a.entity AS e1, b.entity AS e2, count(*) AS weight FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 3")
 def cooccurrence(spark, d):
-    return C.cooccurrence(_tagged(spark, d), "doc_id", "entity").where("weight >= 3")
+    return C.cooccurrence(_tagged(spark, d), "doc_id", "entity")
 
 
 @query(f"WITH {_TAGGED} SELECT entity, count(*) AS frequency, count(DISTINCT source) AS n_sources FROM t GROUP BY entity")
@@ -470,7 +470,7 @@ def node_statistics(spark, d):
 
 
 def _edges(spark, d) -> DataFrame:
-    return C.cooccurrence(_tagged(spark, d), "doc_id", "entity").where("weight >= 3").select(F.col("e1").alias("u"), F.col("e2").alias("v"), F.col("weight").cast("double").alias("w"))
+    return C.cooccurrence(_tagged(spark, d), "doc_id", "entity").select(F.col("e1").alias("u"), F.col("e2").alias("v"), F.col("weight").cast("double").alias("w"))
 
 
 _EDGES = f"{_TAGGED}, e AS (SELECT a.entity AS u, b.entity AS v, CAST(count(*) AS DOUBLE) AS w FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 3)"
