@@ -213,8 +213,7 @@ def sections_txt(spark, d):
 
 @query("SELECT source, min(doc_id) AS first_seq, count(*) AS n, md5(left(string_agg(left(text, 60), chr(10) ORDER BY doc_id), 1800)) AS text_md5 FROM documents GROUP BY source")
 def parents(spark, d):
-    rows = read(spark, d, "documents").select("source", "doc_id", F.left("text", F.lit(60)).alias("text"))
-    return S.parents(rows, "source", "doc_id", "text", "\n", 1800).select("source", "first_seq", "n", F.md5("text").alias("text_md5"))
+    return S.parents(read(spark, d, "documents"), "source", "doc_id", "text", "\n", 1800).select("source", "first_seq", "n", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT source, min(doc_id) AS first_seq, arg_min(lang, doc_id) AS first_lang, arg_min(n_chars, doc_id) AS first_n_chars FROM documents GROUP BY source")
@@ -416,7 +415,7 @@ def budget_blocks(spark, d):
 def context_blocks(spark, d):
     page = F.col("doc_id") % 7
     heading = F.when(F.col("lang") == "en", F.concat(F.lit("Page "), page.cast("string"))).otherwise(F.col("lang"))
-    return read(spark, d, "documents").select("doc_id", F.md5(P.context_block(F.col("source"), page, heading, F.left("text", F.lit(100)))).alias("block_md5"))
+    return read(spark, d, "documents").select("doc_id", F.md5(P.context_block(F.col("source"), page, heading, F.col("text"))).alias("block_md5"))
 
 
 @query(

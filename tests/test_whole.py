@@ -3,6 +3,7 @@
 SQL in the catalogue that is cut as the queries once were is read without its cuts.
 """
 
+import hashlib
 import itertools
 from collections import Counter
 
@@ -58,3 +59,16 @@ def test_communities_and_names_take_whole_texts(spark, small):
     assert catalog.QUERIES["map_layout"](spark, small).count() > 0
     pairs = {(r["a"], r["b"]) for r in catalog.QUERIES["fuzzy_merge"](spark, small).collect()}
     assert pairs == {("consolidation unit", "consolidations unit")}
+
+
+@pytest.mark.parametrize("name, cut", [("parents", "left(text, 60)"), ("context_blocks", "left(text, 100)")])
+def test_passages_take_whole_texts(spark, small, small_con, name, cut):
+    assert cut in catalog.SQL[name]
+    assert not differences(catalog.QUERIES[name](spark, small), small_con, catalog.SQL[name].replace(cut, "text"))
+
+
+def test_parents_are_cut_once_joined(spark, tmp_path):
+    texts = ["x" * 1500, "y" * 1500]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = catalog.QUERIES["parents"](spark, str(tmp_path)).first()
+    assert row["text_md5"] == hashlib.md5("\n".join(texts)[:1800].encode()).hexdigest()
