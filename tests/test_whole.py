@@ -72,3 +72,15 @@ def test_parents_are_cut_once_joined(spark, tmp_path):
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     row = catalog.QUERIES["parents"](spark, str(tmp_path)).first()
     assert row["text_md5"] == hashlib.md5("\n".join(texts)[:1800].encode()).hexdigest()
+
+
+def test_components_take_all_orders(spark, tmp_path):
+    orders = [(1, 8), (2, 9), (3, 15), (4, 20), (5, 14), (6, 33), (7, 28), (8, None), (9, 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    edges = [(c, c - c % 7) for _, c in orders if c is not None]
+    label = {x: x for e in edges for x in e}
+    for _ in edges:
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+    got = {r["node"]: r["component"] for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == label
