@@ -618,10 +618,8 @@ SELECT doc_id, count(*) AS n, count(*) FILTER (len(st) > 0 AND len(list_intersec
   AND len(list_filter(regexp_extract_all(s, '\\b\\d+(?:\\.\\d+)?%?\\b'), lambda x: NOT list_contains(regexp_extract_all(whole, '\\b\\d+(?:\\.\\d+)?%?\\b'), x))) = 0) AS supported FROM r GROUP BY doc_id"""
 )
 def sentence_support(spark, d):
-    docs = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    refs = read(spark, d, "benchmark").where("item_id < 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("refs"))
-    s = docs.select("doc_id", F.explode(T.sentences_qa(F.col("text"))).alias("s")).crossJoin(F.broadcast(refs))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(VF.supported(F.col("s"), F.col("refs"))).alias("supported"))
+    s = read(spark, d, "documents").select("doc_id", F.explode(T.sentences_qa(F.col("text"))).alias("s"))
+    return VF.count_supported(s, read(spark, d, "benchmark"), "doc_id")
 
 
 @query()

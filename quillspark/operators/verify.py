@@ -25,6 +25,31 @@ def supported(sentence: Column, references: Column) -> Column:
     return (n > 0) & (covered >= SUPPORT) & (anchor >= ANCHOR) & (F.size(F.array_except(T.numbers(sentence), known)) == 0)
 
 
+def count_supported(sentences: DataFrame, references: DataFrame, by: str, sentence: str = "s", text: str = "text") -> DataFrame:
+    """(by, n, supported): sentences and those that all references support as `supported` says, by the references' inverted terms.
+
+    Stems and numbers meet references in joins, so no sentence is held against every reference.
+    """
+    refs = references.select(F.monotonically_increasing_id().alias("__ref"), T.stemmed_tokens(F.col(text)).alias("__st"), F.array_distinct(T.numbers(F.col(text))).alias("__nu"))
+    stems = refs.select("__ref", F.explode("__st").alias("__term"))
+    numbers = refs.select(F.explode("__nu").alias("__term")).distinct()
+    # a stem has no mark, so that numbers are told from it
+    known = stems.select("__term").distinct().union(numbers.select(F.concat(F.lit("#"), "__term"))).withColumn("__known", F.lit(1))
+
+    rows = sentences.select(F.monotonically_increasing_id().alias("__row"), by, T.stemmed_tokens(F.col(sentence)).alias("__st"), F.array_distinct(T.numbers(F.col(sentence))).alias("__nu"))
+    terms = rows.withColumn("__term", F.explode_outer(F.concat("__st", F.transform("__nu", lambda x: F.concat(F.lit("#"), x)))))
+    is_stem = ~F.startswith("__term", F.lit("#"))
+    met = terms.join(known, "__term", "left").groupBy("__row", by, "__st", F.size("__nu").alias("__m"))
+    met = met.agg(F.count_if(is_stem & F.col("__known").isNotNull()).alias("__c"), F.count_if(~is_stem & F.col("__known").isNotNull()).alias("__k"))
+    n = F.size("__st")
+    met = met.withColumn("__ok", (n > 0) & (F.col("__c") / n >= SUPPORT) & (F.col("__k") == F.col("__m")))
+
+    # only what passes so far looks for its best single reference
+    near = met.select("__row", by, n.alias("__n"), F.explode_outer(F.when(F.col("__ok"), F.col("__st"))).alias("__term")).join(stems, "__term", "left")
+    best = near.groupBy("__row", by, "__n", "__ref").agg(F.count_if(F.col("__ref").isNotNull()).alias("__h")).groupBy("__row", by, "__n").agg(F.max("__h").alias("__h"))
+    return best.groupBy(by).agg(F.count("*").alias("n"), F.count_if((F.col("__h") > 0) & (F.col("__h") / F.col("__n") >= ANCHOR)).alias("supported"))
+
+
 def keep_claims(claims: DataFrame, by: str = "answer_id") -> DataFrame:
     """Quotes, verified paraphrases and well supported claims; all of them where none is such."""
     good = (F.col("kind") == "quote") | ((F.col("kind") == "paraphrase") & F.coalesce("verified", F.lit(False))) | (F.coalesce("support_score", F.lit(0.0)) >= SUPPORT)

@@ -84,3 +84,26 @@ def test_components_take_all_orders(spark, tmp_path):
             label[u] = label[v] = min(label[u], label[v])
     got = {r["node"]: r["component"] for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == label
+
+
+def test_sentence_support_takes_all_documents_and_references(spark, tmp_path):
+    import duckdb
+
+    d = str(tmp_path)
+    docs = [
+        (0, "The copper kettle boils water quickly. Purple owls negotiate treaties."),
+        (1, "The copper kettle boils 7 litres quickly. The copper kettle boils 9 litres quickly."),
+        (2, "Copper lanterns guard northern rivers tonight. Kettle boiled quickly."),
+        (3, "It is not known. The lanterns guard northern valleys beyond mountains."),
+    ]
+    items = [(0, "nothing alike"), (1, "other words"), (2, "still others"), (3, "A copper kettle boils water quickly, 7 litres at once"), (4, "lanterns guard rivers"), (5, "northern skies tonight")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    df = catalog.QUERIES["sentence_support"](spark, d)
+    assert {r["doc_id"]: (r["n"], r["supported"]) for r in df.collect()} == {0: (2, 1), 1: (2, 1), 2: (2, 2), 3: (2, 0)}
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    sql = catalog.SQL["sentence_support"].replace(" WHERE doc_id IN (SELECT doc_id FROM labels)", "").replace(" WHERE item_id < 3", "")
+    assert not differences(df, c, sql)
