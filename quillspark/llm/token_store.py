@@ -16,6 +16,8 @@ from quillspark.llm.tokens import default_tokenizer, encoder
 MAGIC = b"QTOK0001"
 #: Ids of one file at most, unless a single document has more.
 FILE_IDS = 8 << 20
+#: Documents of one table when files are read.
+READ_DOCS = 4096
 _HEAD = "<8sIIQQQQ"  # magic, bytes of an id, low bits, documents, ids, words of high bits, words of low bits
 
 
@@ -155,6 +157,19 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     return docs.sparkSession.read.parquet(f"{out}/manifest")
 
 
+def _file_rows(data: bytes, start: int):
+    """Tables (id, start, n_tokens, ids_crc32) of READ_DOCS documents at most, each found by select."""
+    f = TokenFile(data)
+    for i in range(0, f.n_docs, READ_DOCS):
+        rows = []
+        for j in range(i, min(i + READ_DOCS, f.n_docs)):
+            x = f.document(j)
+            rows.append((int(f.doc_ids[j]) if f.known[j] else None, start, len(x), zlib.crc32(x.astype("<u4").tobytes())))
+            start += len(x)
+        out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
+        yield out.assign(id=pd.array([r[0] for r in rows], dtype="Int64"))
+
+
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files that the manifest names."""
     files = spark.read.parquet(f"{out}/manifest").collect()  # a row for each file
@@ -172,13 +187,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                 base = bases.get(path.rsplit("/", 1)[-1])
                 if base is None:
                     continue
-                f = TokenFile(data)
-                ends = f.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(f.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                ids = pd.array(f.doc_ids, dtype="Int64")
-                ids[f.known == 0] = pd.NA
-                yield pd.DataFrame({"id": ids, "start": base + starts, "n_tokens": ends - starts, "ids_crc32": crc})
+                yield from _file_rows(data, base)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.qtok").load(f"{out}/files").select("path", "content").mapInPandas(run, schema)
 
