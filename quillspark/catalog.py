@@ -441,13 +441,9 @@ def entities(spark, d):
     return rows.select("page_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort(S.entities(F.col("a"))), "|")).alias("entities_md5"))
 
 
-ACRONYMS = ["Gradient Boosted Trees (GBT) rule.", "We use Support Vector Machines (SVM) and Principal-Component Analysis (PCA).", "Not Matching Words (XYZ).", "Later, Generic Boosting Tool (GBT)."]
-
-
 @query("SELECT * FROM (VALUES ('gbt', 'generic boosting tool'), ('pca', 'principal-component analysi')) v(acronym, expansion)")
 def acronym_aliases(spark, d):
-    rows = spark.createDataFrame(list(enumerate(ACRONYMS)), "seq long, text string")
-    return S.acronym_aliases(rows, "text", "seq").where("acronym in ('gbt', 'pca')")
+    return S.acronym_aliases(read(spark, d, "documents"), "text", "doc_id")
 
 
 def _tagged(spark, d) -> DataFrame:

@@ -107,3 +107,14 @@ def test_sentence_support_takes_all_documents_and_references(spark, tmp_path):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
     sql = catalog.SQL["sentence_support"].replace(" WHERE doc_id IN (SELECT doc_id FROM labels)", "").replace(" WHERE item_id < 3", "")
     assert not differences(df, c, sql)
+
+
+ACRONYMS = ["Gradient Boosted Trees (GBT) rule.", "We use Support Vector Machines (SVM) and Principal-Component Analysis (PCA).", "Not Matching Words (XYZ).", "Later, Generic Boosting Tool (GBT)."]
+
+
+def test_acronyms_come_from_documents(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(ACRONYMS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["acronym"]: r["expansion"] for r in catalog.QUERIES["acronym_aliases"](spark, str(tmp_path)).collect()}
+    assert got == {"gbt": "generic boosting tool", "pca": "principal-component analysi", "svm": "we use support vector machine"}
+    spark.createDataFrame([(0, "Ordinary Least Squares (OLS)")], "doc_id long, text string").write.parquet(f"{tmp_path}/o/documents.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["acronym_aliases"](spark, f"{tmp_path}/o").collect()] == [("ols", "ordinary least square")]
