@@ -1,4 +1,4 @@
-"""Encoding of whole texts with the tokenizers library, each distinct word once for a worker."""
+"""Encoding of whole texts with the tokenizers library, each distinct word of a block once."""
 
 from __future__ import annotations
 
@@ -7,14 +7,20 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that a worker remembers; beyond that it forgets all and starts anew, which changes no result.
-MEMO_WORDS = 600_000
+from quillspark.llm.common import chunks_of
+
+#: Words that a worker remembers in each of two generations; the older one goes when the younger is full, which changes no result.
+MEMO_WORDS = 300_000
+#: Characters of a block whose words are made distinct together.
+BLOCK_CHARS = 4 << 20
 
 # Letters of these blocks keep to themselves: lower case and composition go by single letters.
-_FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-# a stop or comma that ends a run of signs; the upper range may hold letters too, which only costs time
-_RUN = re.compile("[!-/:-@\\[-`{-~\x80-\xbf\xd7\xf7][.,][\\s]")
+_FOREIGN = re.compile("[^\x00-įı-ɏ]")
+# pre-tokens of printable ASCII in lower case, as the file's own pattern parts them
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -26,9 +32,10 @@ def default_tokenizer() -> str:
 class Encoder:
     """ids of texts by the tokenizer file at `path`, add_special_tokens=False, as arrays of 16 or 32 bits.
 
-    The file's pre-tokenizer never joins what white space parts, so a text's ids are those of its words in order. Words
-    seen before come from a memo; new ones are encoded together in one call. Texts where lower-casing or composing could
-    look beyond a word, or that hold the strings of special tokens, are encoded whole.
+    The file's pre-tokenizer never joins what white space parts, so a text's ids are those of its words in order. The
+    words of a block of texts are made distinct first; those seen before come from a memo, the rest are encoded once.
+    Texts where lower-casing or composing could look beyond a word, or that hold the strings of special tokens, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -37,7 +44,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # the alphabet of the byte-level model: letters beyond ASCII stand there as several signs
         step = self.tok.pre_tokenizer.pre_tokenize_str
         self.letters = {i: "".join(x for x, _ in step(chr(i))) for i in range(0x80, 0x250) if chr(i).isalpha()}
@@ -45,42 +53,79 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Plain words are one pre-token and go to the model itself; the rest go through the whole tokenizer."""
-        k, model, memo, rest = self.dtype.itemsize, self.tok.model.tokenize, self.memo, []
-        for w in words:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of each of the distinct words."""
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        young, old, model, letters, width = self.young, self.old, self.tok.model.tokenize, self.letters, self.dtype.itemsize
+
+        def piece(w: str) -> bytes:
+            """ids of one pre-token."""
+            b = young.get(w) or old.get(w)
+            if b is None:
+                b = b"".join([t.id.to_bytes(width, "little") for t in model(w if w.isascii() else w.translate(letters))])
+            young[w] = b
+            return b
+
+        out = list(map(young.get, words))
+        rest = []
+        for i in [i for i, b in enumerate(out) if b is None]:
+            w = words[i]
             if w.isalpha():
-                memo[w] = b"".join([t.id.to_bytes(k, "little") for t in model(w if w.isascii() else w.translate(self.letters))])
+                out[i] = piece(w)
+            elif w[-1:] in (",", ".") and w[:-1].isalpha():
+                out[i] = piece(w[:-1]) + piece(w[-1])
+            elif w.isascii() and w.isprintable():
+                out[i] = b"".join([piece(x) for x in _PIECE.findall(w)])
             else:
-                rest.append(w)
-        memo.update(zip(rest, self._whole(rest)))
+                b = old.get(w)
+                if b is None:
+                    rest.append(i)
+                else:
+                    out[i] = young[w] = b
+        if rest:
+            for i, b in zip(rest, self._whole([words[i] for i in rest])):
+                out[i] = young[words[i]] = b
+        return out
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
+        words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        at = np.asarray(coded.indices)
+        # one string that is parted again: no object of Arrow's for each word
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        ids = self._words(distinct)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        # the ids of word after word: places in flat, each run moved to where the text has it
+        n = size[at]
+        stop = np.cumsum(n)
+        kind = np.int32 if len(n) and stop[-1] < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        where = np.repeat(((np.cumsum(size) - size)[at] - stop + n).astype(kind), n)
+        where += np.arange(len(where), dtype=kind)
+        cuts = np.concatenate([[0], stop])[ends]
+        return np.split(flat[where], cuts[:-1])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """ids of each text; null counts as empty."""
-        out: list = [b""] * len(texts)
-        whole = []
+        out: list = [np.zeros(0, self.dtype)] * len(texts)
+        whole, apart = [], []
         for i, t in enumerate(texts):
             if not t:
                 continue
             if not t.isascii() and _FOREIGN.search(t) or any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
                 whole.append(i)
-                continue
-            t = t.lower()
-            # a lone stop or comma after a word is a token of its own, with or without a space before it
-            if not _RUN.search(t):
-                t = t.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
-            words = t.split()
-            got = list(map(self.memo.get, words))
-            if None in got:
-                if len(self.memo) > MEMO_WORDS:
-                    self.memo.clear()
-                    got = [None] * len(words)
-                self._learn([w for w, g in zip(words, got) if g is None])
-                got = map(self.memo.__getitem__, words)
-            out[i] = b"".join(got)
-        for i, b in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = b
-        return [np.frombuffer(b, self.dtype) for b in out]
+            else:
+                apart.append(i)
+        low = [texts[i].lower() for i in apart]
+        for a, b in chunks_of(low, BLOCK_CHARS):
+            for i, x in zip(apart[a:b], self._block(low[a:b])):
+                out[i] = x
+        for a, b in chunks_of([texts[i] for i in whole], BLOCK_CHARS):
+            for i, x in zip(whole[a:b], self._whole([texts[i] for i in whole[a:b]])):
+                out[i] = np.frombuffer(x, self.dtype)
+        return out
 
 
 def encoder(path: str) -> Encoder:
