@@ -53,6 +53,20 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_blobs(blobs: DataFrame, out: str, between: str) -> None:
+    """Write the bytes of the one column to files under `out`, a file for each task, with `between` (ASCII) after each row.
+
+    Spark's text writer passes bytes on as they are; it reaches every file system that Spark does, and its commit keeps
+    one file of each task, also if tasks are lost or run twice.
+    """
+    blobs.select(F.col(blobs.columns[0]).cast("string")).write.option("lineSep", between).option("compression", "none").text(out)
+
+
+def read_blobs(spark: SparkSession, out: str) -> DataFrame:
+    """(content) of every file that write_blobs has put under `out`, in batches of one file or so."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content")
+
+
 def small_enough(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether a count proves df to be within the broadcast limit."""
     most = limit // bytes_per_row

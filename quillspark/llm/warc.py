@@ -10,15 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keyed_join, materialize, scratch_path
+from quillspark.llm.common import keyed_join, materialize, read_blobs, scratch_path, write_blobs
 
 #: Skippable frame that holds the dictionary, by the WARC zstd convention.
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages the dictionary is trained on at most, the largest of them, and the size of the dictionary.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1 << 17, 1 << 16
-#: Raw bytes of the records of one file at most, unless one record has more.
-FILE_BYTES = 96 << 20
+#: Skippable frames have sixteen magic numbers; an empty one, in ASCII, stands after each frame of a file.
+SKIPPABLE, EMPTY_FRAME = range(0x184D2A50, 0x184D2A60), "P*M\x18\0\0\0\0"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -86,31 +86,31 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": page(h["WARC-Record-ID"]), "url": h.get("WARC-Target-URI"), "payload": payload, "payload_bytes": size, "payload_digest": digest, "record_type": h["WARC-Type"], "refers_to": page(h.get("WARC-Refers-To"))}
 
 
-class ArchiveWriter:
-    """Bytes of one archive: the dictionary in a skippable frame, then a frame for each record."""
-
-    def __init__(self, stream, dictionary: bytes, level: int = 3):
-        import zstandard
-
-        self.stream = stream
-        self.z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
-        if dictionary:
-            stream.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
+def frames(records, dictionary: bytes, level: int = 3):
+    """Frames of one archive: the dictionary in a skippable frame, then a frame for each record."""
+    import zstandard
 
-    def add(self, record: bytes) -> None:
-        self.stream.write(self.z.compress(record))
+    z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
+    first = True
+    for record in records:
+        if first and dictionary:
+            yield struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        first = False
+        yield z.compress(record)
 
 
 def read_archive(data: bytes):
     """The records of one archive, in order."""
     import zstandard
 
-    at, view, dictionary = 0, memoryview(data), None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
-        n = struct.unpack_from("<I", data, 4)[0]
-        dictionary, at = zstandard.ZstdCompressionDict(data[8 : 8 + n]), 8 + n
-    z = zstandard.ZstdDecompressor(dict_data=dictionary)
+    at, view, z = 0, memoryview(data), zstandard.ZstdDecompressor()
     while at < len(data):
+        if at + 8 <= len(data) and struct.unpack_from("<I", data, at)[0] in SKIPPABLE:
+            magic, n = struct.unpack_from("<II", data, at)
+            if magic == DICTIONARY_MAGIC and not at:
+                z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]))
+            at += 8 + n
+            continue
         frame, out = z.decompressobj(), []
         while not frame.eof:
             piece = view[at : at + (1 << 15)]
@@ -122,16 +122,16 @@ def read_archive(data: bytes):
         yield b"".join(out)
 
 
-def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
-    """Write a record for each row to archives under `out` (a folder that all executors reach); returns (file, n_records).
+def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> None:
+    """Write a record for each row to archives in the folder `out` (on any file system of Spark's), one for each task.
 
     Of rows with equal payloads (UTF-8; null is empty) of least_bytes or more, those of the smallest id are responses
-    and the others revisit it; every other row is a response. Each task writes its own files through temporary names,
-    so a task that runs again replaces them; the manifest names the files that count.
+    and the others revisit it; every other row is a response. Spark's commit puts a task's file in place once, whatever
+    tasks are lost or run twice.
 
     Repeated rows: each gets a record; all rows with the group's smallest id are responses. A null id is kept, and
     revisits a group that has another id; a group of null ids only is all response. A null url has no target header.
-    An empty table gives no files. Extra columns are ignored.
+    An empty table gives no records. Extra columns are ignored.
     """
     firsts, _ = materialize(revisits(pages, id_col, payload_col, least_bytes), "warc-first")
     dictionary = train_dictionary(pages, id_col, url_col, payload_col)
@@ -141,55 +141,34 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     rows = rows.select("id", "url", "payload", "payload_digest", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches):
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        store, root = fs.FileSystem.from_uri(f"{out}/files")
-        store.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        made, part, stream = [], 0, None
         whole = lambda x: None if pd.isna(x) else int(x)
 
-        def close():
-            stream.close()
-            store.move(temp, f"{root}/{name}")
-            made.append((name, n))
+        def records():
+            for pdf in batches:
+                for i, url, payload, digest, refers in zip(pdf["id"], pdf["url"], pdf["payload"], pdf["payload_digest"], pdf["refers_to"]):
+                    refers = whole(refers)
+                    yield build_record(whole(i), url, payload.encode("utf-8", "surrogatepass"), digest, "response" if refers is None else "revisit", refers)
+
+        held, size = [], 0
+        for frame in frames(records(), dictionary):
+            held.append(frame)
+            size += len(frame)
+            if size > 4 << 20:
+                yield pd.DataFrame({"frame": held})
+                held, size = [], 0
+        yield pd.DataFrame({"frame": held})
 
-        for pdf in batches:
-            for i, url, payload, digest, refers in zip(pdf["id"], pdf["url"], pdf["payload"], pdf["payload_digest"], pdf["refers_to"]):
-                if stream is None:
-                    name, n, size = f"pages-{task.partitionId():07d}-{part:05d}.warc.zst", 0, 0
-                    temp = f"{root}/.{name}.{task.taskAttemptId()}"
-                    stream = store.open_output_stream(temp)
-                    writer, part = ArchiveWriter(stream, dictionary), part + 1
-                refers = whole(refers)
-                record = build_record(whole(i), url, payload.encode("utf-8", "surrogatepass"), digest, "response" if refers is None else "revisit", refers)
-                writer.add(record)
-                n, size = n + 1, size + len(record)
-                if size >= FILE_BYTES:
-                    close()
-                    stream = None
-        if stream is not None:
-            close()
-        yield pd.DataFrame(made, columns=["file", "n_records"])
-
-    rows.mapInPandas(run, "file string, n_records long").write.parquet(f"{out}/manifest")
-    return pages.sparkSession.read.parquet(f"{out}/manifest")
+    write_blobs(rows.mapInPandas(run, "frame binary"), out, EMPTY_FRAME)
 
 
 def read_warc(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record, with `payload` if asked for."""
-    names = {r["file"] for r in spark.read.parquet(f"{out}/manifest").collect()}  # a row for each file
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    if not names:
-        return spark.createDataFrame([], fields)
     columns = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                if path.rsplit("/", 1)[-1] not in names:
-                    continue
+            for data in pdf["content"]:
                 held, size = [], 0
                 for record in read_archive(data):
                     r = parse_record(record)
@@ -206,7 +185,7 @@ def read_warc(spark: SparkSession, out: str, payloads: bool = False) -> DataFram
             out[c] = pd.array(out[c].tolist(), dtype="Int64")
         return out
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{out}/files").select("path", "content").mapInPandas(run, fields)
+    return read_blobs(spark, out).mapInPandas(run, fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

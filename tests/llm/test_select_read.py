@@ -12,7 +12,7 @@ def test_files_are_read_by_select(monkeypatch):
     monkeypatch.setattr(token_store.EliasFano, "all", table)
     monkeypatch.setattr(token_store, "READ_DOCS", 3)
     arrays = [np.arange(n, dtype="<u2") for n in (4, 1, 700, 1, 9, 33, 2)]
-    names = [None, 2, (1 << 60) + 1, 4, 5, 6, 7]
+    names = [None, 2, 4, 5, 6, 7, (1 << 60) + 1]  # in rising order, as files have them
     tables = list(token_store._file_rows(token_store.pack_file(names, arrays, np.dtype("<u2")), 100))
     assert [len(t) for t in tables] == [3, 3, 1]
     start, want = 100, []
