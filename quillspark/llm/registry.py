@@ -9,6 +9,7 @@ QUERIES = {
     "op4_subword_language_id": language_id.query,
     "op5_bin_completion_packing": packing.query,
     "op6_pivotal_mixing": mixing.query,
+    "mixing_targets": mixing.query_targets,
     "op7_dictionary_warc": warc.query,
     "op8_projection_forest_dedup": vector_dedup.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "mixing_targets": mixing.TARGETS_SQL,
     "op7_dictionary_warc": warc.SQL,
     "op9_streaming_exact_dedup": exact_dedup.SQL,
     "op10_bloom_line_dedup": line_dedup.SQL,

@@ -95,10 +95,45 @@ def test_targets_fill_up():
 
 def test_pivot_keeps_mass():
     rng = np.random.default_rng(5)
-    sizes, probs = rng.integers(1, 50, 500), rng.random(500)
-    p, rest = mixing.pivot(rng.integers(0, 2**60, 500), sizes, probs, 1)
-    assert abs((p * sizes).sum() - (probs * sizes).sum()) < 1e-6
-    assert all(x in (0.0, 1.0) for i, x in enumerate(p) if i != rest)
+    for last in (True, False):
+        sizes, probs = np.sort(rng.integers(1, 50, 500))[::-1], np.full(500, rng.random())  # as in a source
+        p = mixing.pivot(rng.integers(0, 2**60, 500), sizes, probs, 1, last, 16)
+        live = np.flatnonzero((p > 0) & (p < 1))
+        assert abs((p * sizes).sum() - (probs * sizes).sum()) < (1 if last else 1e-6)
+        assert len(live) == 0 if last else 16 <= len(live) <= 16 + 6
+
+
+def test_pivot_keeps_expectations():
+    sizes, probs = np.array([9, 5, 4, 2, 1, 1]), np.array([0.3, 0.3, 0.6, 0.5, 0.9, 0.5])
+    mean = np.mean([mixing.pivot(np.arange(6), sizes, probs, seed, False) for seed in range(4000)], axis=0)
+    assert np.abs(mean - probs).max() < 0.04
+
+
+def test_mix_meets_targets(spark, monkeypatch):
+    """Over several levels of the tree, with a hot source, long documents and one row a thousand times."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 300)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(min(3000, rng.lognormal(4, 1.3)) + 1), "a" if i % 3 else f"s{i % 7}") for i in range(3000)]
+    rows += [(9000, "same row here " * 30, "b")] * 1000 + [(9001 + i, "x " * (i % 40 + 1), "b") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    by = defaultdict(list)
+    for r in mixing.mix_sources(docs).collect():
+        by[r["source"]].append(r)
+    for name, of in by.items():
+        words, target, sizes = sum(r["size"] * r["copies"] for r in of), of[0]["target"], sorted(r["size"] for r in of)
+        assert abs(words - target) <= max(sizes[min(5, len(sizes) - 1)], 0.002 * target), (name, words, target)
+        assert max(r["copies"] for r in of) <= 3
+    same = Counter(r["copies"] for r in by["b"] if r["id"] == 9000)
+    assert len(same) <= 2 and sum(same.values()) == 1000
+    taken = Counter(r["doc_id"] for r in mixing.take_mix(docs).collect())
+    assert taken == {i: n for i, n in Counter({k: sum(r["copies"] for rows in by.values() for r in rows if r["id"] == k) for k in {r[0] for r in rows}}).items() if n}
+
+
+def test_take_mix_keeps_columns(docs):
+    odd = docs.selectExpr("*", "1 AS __copies", "2 AS __mix_key", "3 AS mix_key", "4 AS copies", "5 AS `a.b`", "6 AS kept", "7 AS whole")
+    out = mixing.take_mix(odd)
+    assert out.columns == odd.columns and {tuple(r)[-7:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
 
 
 def test_mix(docs, empty):
