@@ -12,12 +12,10 @@ from quillspark.llm.common import keyed_join, materialize
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of one rounding task.
 BUCKET_ROWS = 2_000
-#: Tasks whose residuals meet in one task of the next level of the tree, and shortest rows of a source that a task hands up unsettled.
-FAN_IN, RESERVE = 64, 32
+#: Tasks whose residuals meet in one task of the next level of the tree, and rows of each order of size that a task hands up unsettled.
+FAN_IN, RESERVE = 32, 4
 #: Probabilities this near to 0 or 1 are integral.
 EPS = 1e-9
-#: A row is settled by shorter ones below the root if it is no larger than this share of what they can give or take.
-SMALL_CHANGE = 0.25
 #: Parts in which the rows of one content are numbered.
 PARTS = 4096
 
@@ -65,37 +63,29 @@ def _step(p: np.ndarray, size: np.ndarray, i: int, others: np.ndarray, draw: flo
         p[k] = np.where(x <= EPS, 0.0, np.where(x >= 1 - EPS, 1.0, x))
 
 
-def pivot(keys, sizes, probs, seed: int, last: bool = True, reserve: int = 0) -> np.ndarray:
+def pivot(keys, sizes, probs, seed: int, last: bool = True, reserve: int = 1) -> np.ndarray:
     """Pivotal rounding of probs (sorted by falling size) so that sum(size * p) stays.
 
-    The open row is paired with the next one while that is at least half as long, and one of the two becomes integral.
-    Before much shorter ones it is paired with all of them together, which settles it by a small change of theirs; where
-    the change would be large it stays open, a row of each order of size at most, and so do the `reserve` shortest rows.
-    So large rows are settled first. `last` goes on until one row is open and rounds it; what that adds or takes is made
-    up by turning ever shorter rows round, as far as each brings the sum nearer.
+    The open row is paired with the next one, and one of the two becomes integral. Rows meet those of their own order of
+    size (powers of two) only, and `reserve` rows of each order stay open; with `last` the open row of an order is then
+    paired with all shorter ones together, which settles it by a small change of theirs. So large rows are settled
+    first. What rounding the very last row adds or takes is made up by turning ever shorter rows round.
     """
     p, size = np.asarray(probs, float).copy(), np.asarray(sizes, float)
     p = np.where(p <= EPS, 0.0, np.where(p >= 1 - EPS, 1.0, p))
-    live, t, step = np.flatnonzero((p > 0) & (p < 1)), 1, 0
-    i = live[0] if len(live) else -1
-    while t < len(live) - (0 if last else reserve):
-        j, step = live[t], step + 1
-        draw = _draw((int(keys[i]) * 31 + int(keys[j])) * 31 + step, seed)
-        if 2 * size[j] >= size[i]:
-            _step(p, size, i, live[t : t + 1], draw)
-            t += 1
-            if p[i] in (0, 1):
-                i = j
-        elif last or size[i] <= SMALL_CHANGE * (size[live[t:]] * p[live[t:]] * (1 - p[live[t:]])).sum():
-            _step(p, size, i, live[t:], draw)
-            rest = live[t:]
-            live, t = rest[(p[rest] > 0) & (p[rest] < 1)], 0
-        else:
-            i, t = j, t + 1
-        if p[i] in (0, 1):
-            if t == len(live):
+    order, step = np.frexp(size)[1], 0
+    for o in np.unique(order)[::-1]:
+        live = np.flatnonzero((order == o) & (p > 0) & (p < 1))
+        while len(live) > (1 if last else reserve):
+            i, j, step = live[0], live[1], step + 1
+            _step(p, size, i, live[1:2], _draw((int(keys[i]) * 31 + int(keys[j])) * 31 + step, seed))
+            live = np.concatenate([live[:2][(p[live[:2]] > 0) & (p[live[:2]] < 1)], live[2:]])
+        while last and len(live):
+            rest, step = np.flatnonzero((order < o) & (p > 0) & (p < 1)), step + 1
+            if not len(rest):
                 break
-            i, t = live[t], t + 1
+            _step(p, size, live[0], rest, _draw(int(keys[live[0]]) * 31 + step, seed))
+            live = live[(p[live] > 0) & (p[live] < 1)]
     return _made_up(np.round(p), size, float((size * (np.round(p) - p)).sum())) if last else p
 
 
@@ -194,9 +184,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, source, mix_key, size, source_size, target, copies) of every row; copies is a whole number.
 
     Copies average target / source_size in every source and exceed that by less than one. Whole parts are taken by all;
-    fractions are rounded by pivots within tasks of hash-dealt rows of a source, from the largest row down. What a task
-    leaves open, a row of each order of size, goes up a tree with its RESERVE shortest rows, FAN_IN tasks to one, where
-    it meets the like, until one row is left. It is rounded to the nearer side, so a source misses its target by about half of one of its shortest rows. Draws depend on row contents and seed, so reruns agree.
+    fractions are rounded by pivots within tasks of hash-dealt rows of a source, among rows of like size. A task leaves
+    RESERVE rows of each order of size open; they go up a tree, FAN_IN tasks to one, and meet the like. At its root large
+    rows are settled first, at the cost of all shorter ones, until one row is left. It is rounded to the nearer side, so a source misses its target by about half of one of its shortest rows. Draws depend on row contents and seed, so reruns agree.
 
     Null text: size 0, like empty text; rows of size 0 take as many copies as the whole part says. Null source: a source
     of its own, after the others. Repeated rows (same id, text and source) share their extra copies as evenly as whole
