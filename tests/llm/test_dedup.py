@@ -69,6 +69,14 @@ def test_line_dedup_with_full_filters(docs, doc_rows, monkeypatch):
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == brute_lines(doc_rows)
 
 
+def test_line_dedup_by_a_tree_of_filters(docs, doc_rows, monkeypatch):
+    """Filters filled in many parts and merged lose no repeated line."""
+    monkeypatch.setattr(line_dedup, "PART_LINES", 1)
+    monkeypatch.setattr(line_dedup, "FAN_IN", 2)
+    got = line_dedup.line_dedup(docs.repartition(8)).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == brute_lines(doc_rows)
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.line_dedup(empty).collect() == []
 
@@ -198,6 +206,23 @@ def test_vector_dedup(spark):
     assert len({got[i]["component_id"] for i in (1, 2000, 2001, 2002, 2003)}) == 1 and got[2000]["n_links"] >= 4
 
 
+@pytest.mark.parametrize("block", [1024, 50])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    """Every link of a group far larger than a leaf is counted, in one block or many, and columns may clash."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "TOP_ROWS", 100)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    x = np.concatenate([base + rng.normal(size=(500, 24)) * rng.uniform(0.02, 0.3, (500, 1)), rng.normal(size=(300, 24))]).astype(np.float32)
+    rows = [(i, v.tolist(), 1, 5, 6, 7, 8) for i, v in enumerate(x)]
+    got = {r["id"]: r for r in vector_dedup.vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id long, rep int, n int, root int")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    true, found = link.sum(1), np.array([got[i]["n_links"] for i in range(800)])
+    assert (found <= true).all() and found.sum() >= 0.97 * true.sum()
+
+
 def test_vector_dedup_of_nothing(spark):
     assert vector_dedup.vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
