@@ -11,6 +11,8 @@ from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, relea
 
 #: Bits of a filter for each distinct line of a task, and in all; beyond MAX_BITS more lines become suspects, and none is lost.
 BITS_PER_LINE, MAX_BITS, PROBES, SHARDS = 12, 1 << 28, 4, 16
+#: Hashes of a shard whose filters one task fills, and filters that meet in one task of the next level of the tree.
+PART_LINES, FAN_IN = 4 << 20, 16
 _WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -64,6 +66,8 @@ def _hashes(least: int):
 
 
 def _filters(bits: int):
+    """Of a part of a shard: a filter of its hashes, and one of those that come again within it."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seen, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for once, twice in zip(pdf["once"], pdf["twice"]):
@@ -71,16 +75,27 @@ def _filters(bits: int):
             _put(again, places[_holds(seen, places)])
             _put(again, _probes(np.frombuffer(twice, np.uint64), bits))
             _put(seen, places)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "again": [again.tobytes()]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "seen": [seen.tobytes()], "again": [again.tobytes()]})
 
     return run
 
 
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The filters of several parts as one: a hash of two parts has all its bits in both, so none is lost."""
+    seen, again = (np.frombuffer(pdf[c].iloc[0], np.uint8).copy() for c in ("seen", "again"))
+    for s, a in zip(pdf["seen"].iloc[1:], pdf["again"].iloc[1:]):
+        s = np.frombuffer(s, np.uint8)
+        again |= np.frombuffer(a, np.uint8) | (seen & s)
+        seen |= s
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "part": [int(pdf["part"].iloc[0]) // FAN_IN], "seen": [seen.tobytes()], "again": [again.tobytes()]})
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """(row_key, gone): for each row that loses lines, the positions of those lines.
 
     A first scan sends the hashes of each task's distinct lines to shards, where a filter of hashes seen once and one
-    of hashes seen again are filled; hash after hash goes to the second filter if the first holds it already. The second
+    of hashes seen again are filled; hash after hash goes to the second filter if the first holds it already. A shard of
+    many hashes is filled in parts, whose filters meet in a tree: bits that two parts have go to the second one. The second
     scan passes only lines that the second filter holds. They are grouped by their whole keys; those in `least_docs`
     rows or more lose all lines but those of the largest id.
     """
@@ -89,8 +104,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashes, _ = materialize(rows.select("text").mapInPandas(_hashes(least_chars), "shard int, n long, once binary, twice binary"), "line-hashes")
     n = hashes.agg(F.sum("n")).first()[0] or 0
     bits = max(1024, min(MAX_BITS, int(BITS_PER_LINE * n)) // SHARDS // 8 * 8)
+    parts, schema = max(1, -(-int(n) // SHARDS // PART_LINES)), "shard int, part int, seen binary, again binary"
+    dealt = hashes.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+    filters = dealt.groupBy("shard", "part").applyInPandas(_filters(bits), schema)
+    while parts > 1:
+        filters, _ = materialize(filters, "line-filters")
+        filters, parts = filters.groupBy("shard", F.floor(F.col("part") / FAN_IN)).applyInPandas(_merged, schema), -(-parts // FAN_IN)
     # SHARDS bitmaps of MAX_BITS together at most
-    parts = hashes.groupBy("shard").applyInPandas(_filters(bits), "shard int, again binary").collect()
+    parts = filters.select("shard", "again").collect()
     again = spark.sparkContext.broadcast({r["shard"]: bytes(r["again"]) for r in parts})
 
     def suspects(batches):
@@ -129,8 +150,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as one empty line and comes out empty. A null id is less than any other. Each row counts as a
     document of its own; of rows with the largest id all keep the line. Other columns pass through; n_lines and
-    n_dropped replace columns of that name.
+    n_dropped replace columns of that name. An empty table gives an empty one.
     """
+    out = without_lines(docs, id_col, text_col, least_chars, least_docs)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"whole.`{c}`") for c in names), "n_lines", "n_dropped")
+
+
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
+    """(whole, text, n_lines, n_dropped): each row of docs as a struct, and what line_dedup makes of it."""
     gone, _ = materialize(repeated_lines(docs, id_col, text_col, least_chars, least_docs), "line-gone")
 
     @F.pandas_udf("string")
@@ -144,12 +172,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in g))
         return pd.Series(out, dtype=object)
 
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = keyed_join(docs.select(*names, row_key(id_col, text_col).alias("__row_key")), gone.toDF("__row_key", "__gone"), ["__row_key"], "left", 160)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = F.when(F.col("__gone").isNull(), text).otherwise(without(F.when(F.col("__gone").isNotNull(), text), F.col("__gone")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), row_key(id_col, text_col).alias("row_key"))
+    joined = keyed_join(rows, gone, ["row_key"], "left", 160)
+    text = F.coalesce(F.col(f"whole.`{text_col}`"), F.lit(""))
+    cut = F.when(F.col("gone").isNull(), text).otherwise(without(F.when(F.col("gone").isNotNull(), text), F.col("gone")))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return joined.select(*(cut.alias(c) if c == text_col else F.col(c) for c in names), lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select("whole", cut.alias("text"), lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
