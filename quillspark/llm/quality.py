@@ -13,9 +13,10 @@ from quillspark.llm.common import chunks_of, keyed_join, materialize, mix, relea
 
 #: A key holds three code points of 21 bits; these stand for no character, the start and the end.
 NONE, START, END = 0x1FFFFF, 0x1FFFFD, 0x1FFFFE
-SHARDS = 16
-#: Documents whose counts meet in one task with one shard of the model.
-CELL_DOCS = 400_000
+#: Shards of the model at least, and its grams that one of them holds.
+SHARDS, SHARD_GRAMS = 16, 500_000
+#: Documents whose counts meet in one task with one shard of the model; each such cell gets a copy of the model.
+CELL_DOCS = 50_000
 #: Characters' worth of the language's mean that each document's mean is drawn to, so that short ones aren't judged by chance.
 PRIOR_CHARS = 60
 
@@ -147,7 +148,7 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
-def _deal(cells: int):
+def _deal(cells: int, shards: int):
     """Per block of documents and shard: the keys, for each the documents that have it, and how often."""
 
     def run(batches):
@@ -160,10 +161,10 @@ def _deal(cells: int):
                 names, inv = np.unique(key, return_inverse=True)
                 order = np.argsort(inv * np.int64(b - a) + doc, kind="stable")
                 doc, inv, count = doc[order], inv[order], count[order]
-                shard = _shard(names, SHARDS)
+                shard = _shard(names, shards)
                 of = shard[inv]
                 rows = []
-                for s in range(SHARDS):
+                for s in range(shards):
                     m = of == s
                     mine = np.flatnonzero(shard == s)
                     runs = np.bincount(inv[m], minlength=len(names))[mine]
@@ -180,6 +181,7 @@ _PAYLOAD = "shard int, cell int, rows binary, n int, keys binary, runs binary, d
 
 def _score(unknown: float):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        release()
         right = right.sort_values("k")
         known, weight = right["k"].to_numpy(), right["w"].to_numpy()
         out = []
@@ -211,11 +213,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         return spark.createDataFrame([], "row_key long, logp double")
     weights, constant, unknown = kneser_ney(counts)
     cells = max(1, -(-docs.count() // CELL_DOCS))
-    payload = rows.select(_row_key("id", "text").alias("row_key"), "text").mapInPandas(_deal(cells), _PAYLOAD)
+    shards = max(SHARDS, -(-weights.count() // SHARD_GRAMS))
+    payload = rows.select(_row_key("id", "text").alias("row_key"), "text").mapInPandas(_deal(cells, shards), _PAYLOAD)
 
     @F.pandas_udf("int")
     def shard(k: pd.Series) -> pd.Series:
-        return pd.Series(_shard(k.to_numpy(), SHARDS))
+        return pd.Series(_shard(k.to_numpy(), shards))
 
     model = weights.select(shard("k").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "k", "w")
     sums = payload.groupBy("shard", "cell").cogroup(model.groupBy("shard", "cell")).applyInPandas(_score(unknown), "row_key long, s double, m long")
@@ -267,9 +270,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score_quality doesn't reject."""
-    bad, _ = materialize(score_quality(docs, trusted_ids(labels)).where("rejected").select(F.col("row_key").alias("__row_key")).distinct(), "kn-bad")
-    return keyed_join(docs.withColumn("__row_key", _row_key("doc_id", "text")), bad, ["__row_key"], "left_anti", 16).drop("__row_key")
+    """The rows of docs that score_quality (see there for nulls, ties, repeats) doesn't reject.
+
+    Columns are those of docs, whatever their names; an empty table gives an empty one.
+    """
+    bad, _ = materialize(score_quality(docs, trusted_ids(labels)).where("rejected").select("row_key").distinct(), "kn-bad")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), _row_key("doc_id", "text").alias("row_key"))
+    return keyed_join(rows, bad, ["row_key"], "left_anti", 16).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
