@@ -196,6 +196,7 @@ def _index(num: int, den: int):
     """Of one shard: pairs that meet in short lists, by band with the number of meetings, and the entries of long lists (b null)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         cols = []
         for r in pdf.itertuples():
             fp = np.frombuffer(r.fp, np.int64)
@@ -312,8 +313,10 @@ def _block_pairs(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     rows = now.join(many.hint("merge"), "sig").join(sets.select("fp", "parity").hint("merge"), "fp").withColumn("block", F.expr("pmod(xxhash64(fp), blocks)").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("sig", "fp", "n", "root", "parity", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    cells = max(1, -(-now.count() // BLOCK))
-    return rows.groupBy(F.expr(f"pmod(xxhash64(sig, lo, hi), {cells})").alias("cell")).applyInPandas(_in_blocks(num, den), "a long, b long").distinct()
+    # a cell for each pair of blocks, side by side for one list: ranges of cells share the work out evenly
+    cell = F.expr("pmod(xxhash64(sig), 1L << 31) * (1L << 31) + hi * (hi + 1L) DIV 2 + lo")
+    n = max(1, -(-now.count() // BLOCK))
+    return rows.withColumn("cell", cell).repartitionByRange(n, "cell").groupBy("cell").applyInPandas(_in_blocks(num, den), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -413,14 +416,14 @@ def jaccard_links(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataF
         old = at_open
         open_, at_open = materialize(still.join(hubs.select("sig", F.col("hub").alias("fp")).hint("merge"), ["sig", "fp"], "left_anti"), "jac-lists")
         tell(close, at_close, at_fresh, at_hubs, at_now, old, at_roots)
-        hubs_each, turn = hubs_each * 3, turn + 1
+        hubs_each, turn = hubs_each * 2, turn + 1
     remove(spark, at_open, at_sets)
     links = told.where("linked").select("a", "b")
     return table, links, roots
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
-    """(row_key, id, n_shingles, component_id) of every row: groups of rows whose 5-word shingle sets link directly or over others.
+    """(row_key, id, n_shingles, component_id, keep_key) of every row: groups of rows whose 5-word shingle sets link directly or over others.
 
     Sets link when den * intersection >= num * union, exactly. Similar sets differ in few shingles; shingles are hashed
     to more segments than that, by band of set size, so that two similar sets agree in a whole segment, or in one but
@@ -430,29 +433,41 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts and texts without words have empty sets, which link with nothing. Equal sets are one class. component_id
     is the smallest id reachable; null ids are ignored by it (null if there is no other), and repeated rows are members
-    of one class. An empty table gives an empty one. Extra columns are ignored.
+    of one class. keep_key is the row_key of the group's first row by id (null last) and row_key. An empty table gives an
+    empty one. Extra columns are ignored.
     """
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     table, _, roots = jaccard_links(rows, num, den)
-    least = table.where("fp is not null").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key"))
+    least = table.where("fp is not null").groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"))
     least, _ = materialize(least.join(roots.toDF("fp", "root").hint("merge"), "fp", "left").where("n > 1 or root is not null"), "jac-least")
-    by_root = least.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    named = least.join(by_root, "root", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    named, _ = materialize(named, "jac-named")
-    return keyed_join(table, named, ["fp"], "left", 24).select("row_key", "id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-
-
+    by_root = least.where("root is not null").groupBy("root").agg(F.min("first").alias("of_root"))
+    named = least.join(by_root, "root", "left").select("fp", F.coalesce("of_root", "first").alias("first"))
+    named, _ = materialize(named.select("fp", F.col("first.id").alias("component"), F.col("first.row_key").alias("keep_key")), "jac-named")
+    out = keyed_join(table, named, ["fp"], "left", 32)
+    return out.select("row_key", "id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("keep_key", "row_key").alias("keep_key"))
 
 
 def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of docs: the one of the smallest id."""
-    groups = jaccard_groups(docs)
-    gone, _ = materialize(groups.where("not id <=> component_id").select(F.col("row_key").alias("__row_key")).distinct(), "jac-gone")
-    return keyed_join(docs.withColumn("__row_key", row_key("doc_id", "text")), gone, ["__row_key"], "left_anti", 16).drop("__row_key")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of docs that similarity joins: the first by id (null last), then by a hash of id and text.
+
+    Of repeated rows (same id and text) one stays, whichever its other columns. Rows with null text or without words are
+    groups of their own and stay, all of them. Columns are those of docs, whatever their names; an empty table gives an
+    empty one.
+    """
+    groups, _ = materialize(jaccard_groups(docs, id_col, text_col).where("n_shingles > 0").select("row_key", "keep_key"), "jac-groups")
+    gone, _ = materialize(groups.where("row_key <> keep_key").select("row_key").distinct(), "jac-gone")
+    again, _ = materialize(groups.where("row_key = keep_key").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "jac-again")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), row_key(id_col, text_col).alias("row_key"))
+    out = keyed_join(rows, gone, ["row_key"], "left_anti", 16)
+    if again.take(1):
+        more = keyed_join(out, again, ["row_key"], "left_semi", 16).groupBy("row_key").agg(F.first("whole").alias("whole")).select("whole", "row_key")
+        out = keyed_join(out, again, ["row_key"], "left_anti", 16).unionByName(more)
+    return out.select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
