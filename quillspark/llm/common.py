@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -45,11 +46,29 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold for a while."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Whole texts go to Python in batches of that many rows: they stand in memory on both sides of the pipe.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cut the lineage of df with a table in the shared folder; returns the table and its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, SMALL_BATCHES):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -59,7 +78,8 @@ def write_blobs(blobs: DataFrame, out: str, between: str) -> None:
     Spark's text writer passes bytes on as they are; it reaches every file system that Spark does, and its commit keeps
     one file of each task, also if tasks are lost or run twice.
     """
-    blobs.select(F.col(blobs.columns[0]).cast("string")).write.option("lineSep", between).option("compression", "none").text(out)
+    with settings(blobs.sparkSession, SMALL_BATCHES):
+        blobs.select(F.col(blobs.columns[0]).cast("string")).write.option("lineSep", between).option("compression", "none").text(out)
 
 
 def read_blobs(spark: SparkSession, out: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keyed_join, materialize, scratch_path
+from quillspark.llm.common import keyed_join, materialize, scratch_path, settings
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The state store for the time a stream runs: RocksDB with a fixed share of memory, whatever the number of partitions.
@@ -26,18 +24,6 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-@contextlib.contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _globbed(path: str) -> str:
     """The same path as a pattern: a stream takes a pattern for single files and folders alike."""
     path = path.rstrip("/")
@@ -54,7 +40,7 @@ def advance_state(spark: SparkSession, path: str, checkpoint: str, id_col: str,
     rows = spark.readStream.schema(schema).parquet(_globbed(path))
     at = F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     state = rows.select(_digest(text_col, digest_bits).alias("digest"), at.alias("at")).groupBy("digest").agg(F.max("at").alias("keeper"), F.count("*").alias("n"))
-    with _settings(spark, STORE):
+    with settings(spark, STORE):
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -65,7 +51,7 @@ def _digest(text_col: str, bits: int) -> Column:
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(digest, keep_id, file, row, n) of every key that the state holds."""
-    with _settings(spark, STORE):
+    with settings(spark, STORE):
         state = spark.read.format("statestore").load(checkpoint)
         return state.select("key.digest", F.col("value.*")).toDF("digest", "keeper", "n").select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.file").alias("file"), F.col("keeper.row").alias("row"), "n")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import chunks_of
 
-#: Labelled rows of a language that training uses at most, and the longest text among them.
+#: Labelled rows of a language that training uses at most, and the characters of each.
 ROWS_PER_LANGUAGE, SAMPLE_CHARS = 500, 20_000
 #: Languages beyond this many are an error: the model keeps a column for each.
 MAX_LANGUAGES = 1_000
@@ -117,8 +117,8 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 3) -> Model:
 
 def sample(docs: DataFrame, eligible: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
     """A bounded sample for each language, dealt by a hash of the row, so that it is the same whatever the layout."""
-    rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}") & (F.length(text_col) <= SAMPLE_CHARS))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.abs(F.xxhash64(id_col, text_col) % (1 << 40)).alias("h"))
+    rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
+    rows = rows.select(F.left(F.col(text_col), F.lit(SAMPLE_CHARS)).alias("text"), F.col(lang_col).alias("lang"), F.abs(F.xxhash64(id_col, text_col) % (1 << 40)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -154,11 +154,13 @@ def identify_languages(docs: DataFrame, eligible: Column | None = None, id_col:
         return pd.DataFrame({"lang_pred": named, "score": score, "rejected": rejected})
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*names, predict(F.col(text_col)).alias("__pred")).select(*names, "__pred.*")
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), predict(F.col(text_col)).alias("pred"))
+    return out.select("whole.*", "pred.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(held_out, F.lit(False))  # a null id has no remainder
     out = identify_languages(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -258,7 +258,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype)
         for pdf in batches:
-            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
+            ids, texts, rows = pdf["id"].to_numpy(), pdf["text"].tolist(), []
             sized = [t or "" for t in texts]
             for a, b in chunks_of(sized, BLOCK_CHARS):
                 rows = []
@@ -268,6 +268,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
                         part = t[s : s + cap]
                         rows.append((ids[i], p, s, len(part), zlib.crc32(part.tobytes())))
                 yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+            del pdf, texts, sized, rows
             release()
 
     kind = dict(docs.dtypes)[id_col]

@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quillspark.llm.common import chunks_of
+from quillspark.llm.common import chunks_of, release
 
 #: Words that a worker remembers in each of two generations; the older one goes when the younger is full, which changes no result.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Characters of a block whose words are made distinct together.
 BLOCK_CHARS = 4 << 20
 
@@ -130,6 +130,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it outlives a task, as workers are used again."""
+    release()
     home = sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker"))
     found = home.__dict__.setdefault("encoders", {})
     if path not in found:
