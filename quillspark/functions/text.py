@@ -35,8 +35,7 @@ def collapse(c: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Lower-case runs of letters a-z and digits, longer than two, without stop words; repeats and order stay."""
-    stop = words_in(STOPWORDS)
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda x: ~x.isin(*STOPWORDS))
 
 
 def normalize(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.plans.lineage import cut
 
 # Fixed values of the ranking.
 K1, B, TOP_K, HINT_BOOST, PHRASE_BONUS, HEADING_BONUS = 1.5, 0.75, 30, 1.15, 3.0, 2.0
@@ -39,16 +40,16 @@ def weight(tf: Column, dl: Column, mean: Column) -> Column:
 def bm25(chunks: DataFrame, questions: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(query_id, id, score) of all chunks with a token of the question; questions: (query_id, query).
 
-    Query tokens count as often as they stand in the question. Only those tokens leave the scan of the chunks: the token
-    set of the questions is joined in before anything is exploded, and postings join question tokens by token.
+    Query tokens count as often as they stand in the question. Tokens of the chunks join those of the questions before
+    anything is counted, so postings hold asked tokens alone; they are written once for frequencies and scores.
     """
     asked = questions.select("query_id", F.explode(T.content_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    wanted = asked.agg(F.collect_set("token").alias("wanted"))  # the caller's questions bound it
-    rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(text).alias("tokens"))
-    kept = rows.crossJoin(F.broadcast(wanted)).select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda x: F.array_contains("wanted", x)).alias("hits"))
-    stats = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    postings = kept.select("id", "dl", F.explode("hits").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+    # documents without tokens count towards the mean length
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    hits = rows.select("id", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    postings = cut(hits.groupBy("id", "dl", "token").agg(F.count("*").alias("tf")))
+    terms = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     terms = terms.select("token", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
     scored = postings.join(terms.join(asked, "token"), "token")
     return scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("mean"))).alias("score"))
@@ -80,13 +81,21 @@ def composite_rank(chunks: DataFrame, questions: DataFrame, id_col: str, text_co
     best = multi_query(chunks, fanned, id_col, index_text(heading, F.col(text_col)))
     said = F.concat_ws(" ", F.array_join("queries", " "), F.array_join("key_terms", " "), F.array_join("sub_questions", " "), "hypothetical_answer", "focus")
     asked = questions.select("question_id", F.array_distinct(T.content_tokens(said)).alias("asked"), F.transform("key_terms", F.lower).alias("phrases"), "hinted_files")
-    rows = chunks.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"), F.lower(F.coalesce(heading, F.lit(""))).alias("head"), file.alias("file"), F.array_distinct(T.content_tokens(F.col(text_col))).alias("own"))
-    # each question is asked of each chunk: a stated set of questions against all rows
-    each = rows.crossJoin(F.broadcast(asked))
-    extra = PHRASE_BONUS * T.phrase_hits(F.col("low"), F.col("phrases")) + HEADING_BONUS * T.phrase_hits(F.col("head"), F.col("phrases")) + T.coverage(F.col("own"), F.col("asked"))
-    each = each.select("question_id", "id", extra.alias("extra"), F.array_contains("hinted_files", F.col("file")).alias("hinted"))
-    total = (F.coalesce("bm25", F.lit(0.0)) + F.col("extra")) * F.when(F.col("hinted"), HINT_BOOST).otherwise(1.0)
-    scored = each.join(best, ["question_id", "id"], "left").select("question_id", "id", total.alias("raw")).where("raw > 0")
+    rows = chunks.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"), F.lower(F.coalesce(heading, F.lit(""))).alias("head"), F.array_distinct(T.content_tokens(F.col(text_col))).alias("own"))
+    # the share of a question's tokens, by token
+    tokens = asked.select("question_id", F.size("asked").alias("n"), F.explode("asked").alias("token"))
+    shared = rows.select("id", F.explode("own").alias("token")).join(tokens, "token").groupBy("question_id", "id").agg((F.count("*") / F.first("n")).alias("extra"))
+    # phrases may stand within words, so each one is looked for; what finds none leaves no row
+    phrases = asked.select("question_id", F.explode("phrases").alias("phrase"))
+    wanted = phrases.agg(F.collect_set("phrase").alias("wanted"))  # one row, bounded by the questions asked
+    bonus = F.transform("wanted", lambda p: F.struct(p.alias("phrase"), (PHRASE_BONUS * F.contains("low", p).cast("int") + HEADING_BONUS * F.contains("head", p).cast("int")).alias("extra")))
+    said_in = rows.crossJoin(F.broadcast(wanted)).select("id", F.explode(F.filter(bonus, lambda x: x["extra"] > 0)).alias("x"))
+    said_in = said_in.select("id", F.col("x.phrase").alias("phrase"), F.col("x.extra").alias("extra")).join(phrases, "phrase")
+    parts = shared.select("question_id", "id", "extra").unionByName(said_in.select("question_id", "id", "extra")).unionByName(best.select("question_id", "id", F.col("bm25").alias("extra")))
+    each = parts.groupBy("question_id", "id").agg(F.sum("extra").alias("raw")).join(chunks.select(F.col(id_col).alias("id"), file.alias("file")), "id")
+    each = each.join(asked.select("question_id", "hinted_files"), "question_id")
+    boost = F.when(F.array_contains("hinted_files", F.col("file")), HINT_BOOST).otherwise(1.0)
+    scored = each.select("question_id", "id", (F.col("raw") * boost).alias("raw")).where("raw > 0")
     ranked = top(scored, k, "question_id", "raw")
     return ranked.select("question_id", "id", F.round("raw", 6).alias("retrieval_score"), "rank")
 

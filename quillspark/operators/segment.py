@@ -96,15 +96,17 @@ def parents(chunks: DataFrame, key: str = "parent_id", seq: str = "chunk_seq", t
 
 
 def first_in_group(chunks: DataFrame, key: str, seq: str, attributes: list[str]) -> DataFrame:
-    """Attributes of the first row of each group, and the group's place among groups by first row."""
-    first = chunks.groupBy(key).agg(F.min(seq).alias("first_seq"), *(F.min_by(a, seq).alias(f"first_{a}") for a in attributes))
-    return first
+    """(key, first_seq, first_...): attributes of the first row of each group; first_seq orders the groups."""
+    return chunks.groupBy(key).agg(F.min(seq).alias("first_seq"), *(F.min_by(a, seq).alias(f"first_{a}") for a in attributes))
 
 
 def drop_repeats(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """The first row by `order` of those with equal text but for case and white space."""
-    w = Window.partitionBy("__key").orderBy(*order)
-    return rows.withColumn("__key", T.dedupe_key(F.col(text))).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__key", "__n")
+    """The first row by `order` (which identifies rows) of those with equal text but for case and white space.
+
+    Keys and order columns alone are compared, so no text moves and a text that many rows share is summed up in parts.
+    """
+    first = rows.select(T.dedupe_key(F.col(text)).alias("__key"), F.struct(*order).alias("__first")).groupBy("__key").agg(F.min("__first").alias("__first"))
+    return rows.join(first.select("__first.*"), order, "left_semi")
 
 
 def entities(c: Column) -> Column:
