@@ -101,29 +101,40 @@ def target_words(intent: Column) -> Column:
     return F.coalesce(table[intent], F.lit(TARGET_WORDS["other"]))
 
 
+# Signs that part blocks, and lead headings and bullets, while an answer is taken apart.
+_END, _HEAD, _POINT = "\x1e", "\x1d", "\x1f"
+
+
+def answer_blocks(markdown: Column) -> Column:
+    """[(kind, text)] of an answer: paragraphs, headings of up to six words (three at most) and bullets.
+
+    Every line is marked by what it is; joined by spaces and parted at the marks, text lines that follow each other are
+    one paragraph.
+    """
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(markdown, F.lit("")), r"\r\n?", "\n"), "\n"), T.strip)
+
+    def marked(x: Column) -> Column:
+        head, point = F.regexp_extract(x, r"^#{1,6}\s+(.+)$", 1), F.regexp_extract(x, r"^(?:[-*]|\d+\.)\s+(.+)$", 1)
+        title = F.array_join(F.slice(F.split(T.strip(F.regexp_replace(T.strip(head), r"[.:;,!?]+$", "")), r"\s+"), 1, 6), " ")
+        return F.when(head != "", F.concat(F.lit(_END + _HEAD), title, F.lit(_END))).when(point != "", F.concat(F.lit(_END + _POINT), T.strip(point), F.lit(_END))).when(x == "", _END).otherwise(x)
+
+    parts = F.filter(F.transform(F.split(F.array_join(F.transform(lines, marked), " "), _END), T.strip), lambda x: ~x.isin("", _HEAD, _POINT))
+    parts = F.filter(parts, lambda x, i: ~F.startswith(x, F.lit(_HEAD)) | (F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: F.startswith(y, F.lit(_HEAD)))) <= MOST_HEADINGS))
+    kind = lambda x: F.when(F.startswith(x, F.lit(_HEAD)), "heading").when(F.startswith(x, F.lit(_POINT)), "bullet").otherwise("paragraph")
+    return F.transform(parts, lambda x: F.struct(kind(x).alias("kind"), F.when(F.startswith(x, F.lit(_HEAD)), F.concat(F.lit("### "), F.substr(x, F.lit(2)))).when(F.startswith(x, F.lit(_POINT)), F.substr(x, F.lit(2))).otherwise(x).alias("text")))
+
+
 def blocks(markdown: str) -> list[tuple[str, str]]:
-    """(kind, text) blocks of an answer: paragraphs, headings of up to six words (three at most) and bullets."""
-    out, open_ = [], []
-
-    def close():
-        if open_:
-            out.append(("paragraph", " ".join(open_)))
-            open_.clear()
-
-    for line in map(str.strip, (markdown or "").splitlines()):
-        head, point = re.match(r"#{1,6}\s+(.+)$", line), re.match(r"(?:[-*]|\d+\.)\s+(.+)$", line)
-        if line and not head and not point:
-            open_.append(line)
-            continue
-        close()
-        if head:
-            words = head[1].strip().rstrip(".:;,!?").split()[:6]
-            if words and sum(k == "heading" for k, _ in out) < MOST_HEADINGS:
-                out.append(("heading", "### " + " ".join(words)))
-        elif point and point[1].strip():
-            out.append(("bullet", point[1].strip()))
-    close()
-    return out
+    """answer_blocks of one text, without a session."""
+    text = "\n".join(map(str.strip, (markdown or "").splitlines()))
+    short = lambda m: " ".join(m[1].strip().rstrip(".:;,!?").split()[:6])
+    text = re.sub(r"(?m)^#{1,6}[ \t]+(.+)$", lambda m: f"{_END}{_HEAD}{short(m)}{_END}", text)
+    text = re.sub(r"(?m)^(?:[-*]|\d+\.)[ \t]+(.+)$", lambda m: f"{_END}{_POINT}{m[1].strip()}{_END}", text)
+    parts = [x for x in (p.strip(" \n") for p in re.split(rf"{_END}|\n\n+", text)) if x not in ("", _HEAD, _POINT)]
+    late = [p for p in parts if p[0] == _HEAD][MOST_HEADINGS:]
+    names = {_HEAD: ("heading", "### "), _POINT: ("bullet", "")}
+    told = [(*names.get(p[0], ("paragraph", p[0])), p[1:].replace("\n", " ")) for p in parts if not late or not any(p is x for x in late)]
+    return [(kind, lead + rest) for kind, lead, rest in told]
 
 
 def drop_bare_headings(parts: list[tuple[str, str]]) -> list[tuple[str, str]]:

@@ -113,6 +113,11 @@ def test_claims(spark):
     got = rows.select(V.dedupe_claims(F.col("c")).alias("x")).first()["x"]
     assert [(r["text"], r["support"]) for r in got] == [("alpha beta gamma", ["1.1", "2.1"]), ("delta epsilon", ["1.2"])]
     assert V.blocks("## A title that has far too many words\ntext\nmore\n\n- point\n1. other") == [("heading", "### A title that has far too"), ("paragraph", "text more"), ("bullet", "point"), ("bullet", "other")]
+    text = "## A title that has far too many words\ntext\r\nmore\n\n- point\n1. other\n* third\nend.\n# One:\n## Two\n### Three!\n#### Four\n#nospace\n##  \n\n\n2. \nlast"
+    for t in (text, "", None, "plain", "- a\n- b", "# only"):
+        got = spark.createDataFrame([(t,)], "t string").select(V.answer_blocks(F.col("t")).alias("b")).first()["b"]
+        assert [(r["kind"], r["text"]) for r in got] == V.blocks(t), t
+    assert [k for k, _ in V.blocks(text)].count("heading") == 3 and ("heading", "### Two") in V.blocks(text)
     assert V.drop_bare_headings([("heading", "a"), ("heading", "b"), ("paragraph", "c"), ("heading", "d")]) == [("paragraph", "c")]
     long = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen."
     assert V.polish(long + " Not so.", lambda s: "Not" not in s, 70, "fb") == (long, ["Not so."])
@@ -143,9 +148,11 @@ def test_layout():
         assert len(L.ring_slots(n)) == n
     halos = [120.0, 200.0, 150.0, 90.0]
     xy = L.place_clusters(halos, [(0, 1, 3.0), (1, 2, 1.0)])
-    for i in range(4):
-        for j in range(i):
-            assert math.hypot(*(xy[i] - xy[j])) >= halos[i] + halos[j] + L.HALO_GAP - 1e-6
+    for halos, links in ((halos, [(0, 1, 3.0), (1, 2, 1.0)]), (halos * 6, []), (halos * 6, [(i, i + 1, 1.0 + i) for i in range(23)]), ([100.0] * 40, [(0, i, 5.0) for i in range(1, 40)])):
+        xy = L.place_clusters(halos, links)
+        for i in range(len(halos)):
+            for j in range(i):
+                assert math.hypot(*(xy[i] - xy[j])) >= halos[i] + halos[j] + L.HALO_GAP - 1e-6
 
 
 def test_concepts(spark):
