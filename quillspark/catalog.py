@@ -30,8 +30,15 @@ def query(sql: str | None = None):
     return add
 
 
+#: Text tables up to that many bytes are dealt to all cores: they are often one row group, which one task reads.
+SPREAD_BYTES = 256 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table in ("documents", "pages", "conversations") and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 # --- SQL pieces ---------------------------------------------------------------------------------------------------
@@ -211,7 +218,7 @@ def sections_txt(spark, d):
     return out.select(F.col("source_file").alias("doc_id"), "page_or_slide", F.md5("content").alias("content_md5"))
 
 
-@query("SELECT source, min(doc_id) AS first_seq, count(*) AS n, md5(left(string_agg(left(text, 60), chr(10) ORDER BY doc_id), 1800)) AS text_md5 FROM documents GROUP BY source")
+@query("SELECT source, min(doc_id) AS first_seq, count(*) AS n, md5(left(string_agg(text, chr(10) ORDER BY doc_id), 1800)) AS text_md5 FROM documents GROUP BY source")
 def parents(spark, d):
     return S.parents(read(spark, d, "documents"), "source", "doc_id", "text", "\n", 1800).select("source", "first_seq", "n", F.md5("text").alias("text_md5"))
 
@@ -285,19 +292,24 @@ def bm25_multi(spark, d):
 TERMS = [(1, ["thing", "tion er"], ["heat of the"], "src1"), (2, ["keit", "und die"], [], "src2"), (3, ["que", "para la"], [], "src0")]
 
 
-def _questions(spark) -> DataFrame:
-    rows = [(i, [ASKED[i - 1][1]], terms, subs, "", "", [file]) for i, terms, subs, file in TERMS]
+#: Phrases that headings hold.
+HEADED = [(1, ["src1", "tion er"], ["heat of the"], "src1"), (2, ["src", "und die"], [], "src2"), (3, ["que", "src3"], [], "src0")]
+
+
+def _questions(spark, asked=TERMS) -> DataFrame:
+    rows = [(i, [ASKED[i - 1][1]], terms, subs, "", "", [file]) for i, terms, subs, file in asked]
     return spark.createDataFrame(rows, "question_id long, queries array<string>, key_terms array<string>, sub_questions array<string>, hypothetical_answer string, focus string, hinted_files array<string>")
 
 
-def _composite_sql() -> str:
-    fan = ", ".join(f"({i * 10 + j}, '{q}')" for i, terms, subs, _ in TERMS for j, q in enumerate([ASKED[i - 1][1], " ".join(terms), *subs]))
-    said = ", ".join(f"({i}, '{' '.join([ASKED[i - 1][1], *terms, *subs])}', {_list(terms)}, '{file}')" for i, terms, subs, file in TERMS)
-    return f"""WITH q(query_id, query) AS (VALUES {fan}), {_BM25}, best AS (
+def _composite_sql(asked=TERMS, heading: str = "''") -> str:
+    bm25 = _BM25.replace(_tokens("text"), _tokens(f"CASE WHEN {heading} = '' THEN text ELSE {heading} || ' ' || text END")) if heading != "''" else _BM25
+    fan = ", ".join(f"({i * 10 + j}, '{q}')" for i, terms, subs, _ in asked for j, q in enumerate([ASKED[i - 1][1], " ".join(terms), *subs]))
+    said = ", ".join(f"({i}, '{' '.join([ASKED[i - 1][1], *terms, *subs])}', {_list(terms)}, '{file}')" for i, terms, subs, file in asked)
+    return f"""WITH q(query_id, query) AS (VALUES {fan}), {bm25}, best AS (
   SELECT query_id // 10 AS question_id, id, max(score) AS bm25 FROM (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30) GROUP BY ALL
 ), a(question_id, said, terms, file) AS (VALUES {said}), a2 AS (SELECT *, list_distinct({_tokens('said')}) AS want FROM a),
 each AS (
-  SELECT question_id, doc_id AS id, 3.0 * len(list_filter(terms, lambda p: contains(lower(text), p))) + len(list_intersect(want, {_tokens('text')})) / len(want) AS extra, source = file AS hinted
+  SELECT question_id, doc_id AS id, 3.0 * len(list_filter(terms, lambda p: contains(lower(text), p))) + 2.0 * len(list_filter(terms, lambda p: contains(lower({heading}), p))) + len(list_intersect(want, {_tokens('text')})) / len(want) AS extra, source = file AS hinted
   FROM documents, a2
 ), total AS (SELECT question_id, id, (coalesce(bm25, 0) + extra) * CASE WHEN hinted THEN 1.15 ELSE 1 END AS raw FROM each LEFT JOIN best USING (question_id, id))
 SELECT question_id, id AS doc_id, round(raw, 6) AS retrieval_score, row_number() OVER (PARTITION BY question_id ORDER BY round(raw, 9) DESC, id) AS rank
@@ -313,27 +325,34 @@ def composite_rank(spark, d):
     return _ranked(spark, d).select("question_id", F.col("id").alias("doc_id"), "retrieval_score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_composite_sql(HEADED, "source"))
+def composite_rank_headings(spark, d):
+    out = R.composite_rank(read(spark, d, "documents"), _questions(spark, HEADED), "doc_id", "text", F.col("source"), F.col("source"))
+    return out.select("question_id", F.col("id").alias("doc_id"), "retrieval_score", F.col("rank").cast("long").alias("rank"))
+
+
 _DOT = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 
 
-def _vector_queries(spark, d) -> list:
-    return [(r["vec_id"], list(r["embedding"])) for r in read(spark, d, "embeddings").where("vec_id < 5").collect()]
+def _vector_queries(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) <= 10")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) <= 10")
 def vector_topk(spark, d):
-    return V.top_k(read(spark, d, "embeddings"), _vector_queries(spark, d), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    return V.top_k_join(read(spark, d, "embeddings"), _vector_queries(spark, d), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query(
     f"""WITH q(query_id, query) AS (VALUES {_VALUES}), {_BM25},
 r1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM bm QUALIFY r <= 30),
-r2 AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id < 3 QUALIFY r <= 30)
+r2 AS (SELECT q.vec_id // 100 + 1 AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY r <= 30)
 SELECT query_id, id, round(sum(1.0 / (60 + r)), 8) AS rrf FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY ALL"""
 )
 def rrf_fusion(spark, d):
     lexical = R.top(R.bm25(read(spark, d, "documents"), _asked(spark), "doc_id", F.col("text")), 30)
-    dense = V.top_k(read(spark, d, "embeddings"), [(q + 1, v) for q, v in _vector_queries(spark, d) if q < 3], 30)
+    asked = _vector_queries(spark, d).select((F.floor(F.col("vec_id") / 100) + 1).cast("long").alias("query_id"), "embedding")
+    dense = V.top_k_join(read(spark, d, "embeddings"), asked, 30)
     return R.fuse_ranks([lexical, dense]).select("query_id", "id", F.round("rrf", 8).alias("rrf"))
 
 
@@ -410,7 +429,7 @@ def budget_blocks(spark, d):
 
 
 @query(
-    """SELECT doc_id, md5('[Source: ' || source || ' | Page ' || (doc_id % 7) || CASE WHEN lang <> 'en' THEN ' | Section: ' || lang ELSE '' END || ']' || chr(10) || left(text, 100)) AS block_md5 FROM documents"""
+    """SELECT doc_id, md5('[Source: ' || source || ' | Page ' || (doc_id % 7) || CASE WHEN lang <> 'en' THEN ' | Section: ' || lang ELSE '' END || ']' || chr(10) || text) AS block_md5 FROM documents"""
 )
 def context_blocks(spark, d):
     page = F.col("doc_id") % 7
@@ -441,20 +460,31 @@ def entities(spark, d):
     return rows.select("page_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort(S.entities(F.col("a"))), "|")).alias("entities_md5"))
 
 
-@query("SELECT * FROM (VALUES ('gbt', 'generic boosting tool'), ('pca', 'principal-component analysi')) v(acronym, expansion)")
+_ACRONYM = "'\\b([A-Z][A-Za-z0-9\\s\\-]{2,40}?)\\s*\\(([A-Z0-9]{2,8})\\)'"
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l, s FROM (SELECT doc_id, regexp_extract_all(text, {_ACRONYM}, 1) AS l, regexp_extract_all(text, {_ACRONYM}, 2) AS s FROM documents)),
+k AS (SELECT doc_id, i, {_key('s[i]')} AS acronym, {_key('l[i]')} AS expansion FROM m
+  WHERE contains(upper(list_reduce(list_concat([''], list_transform(list_filter(string_split_regex(l[i], '[\\s\\-]+'), lambda w: w <> ''), lambda w: left(w, 1))), lambda x, y: x || y)), upper(s[i])))
+SELECT acronym, arg_max(expansion, doc_id * 1000000 + i) AS expansion FROM k WHERE acronym <> '' AND expansion <> '' AND acronym <> expansion GROUP BY acronym"""
+)
 def acronym_aliases(spark, d):
     return S.acronym_aliases(read(spark, d, "documents"), "text", "doc_id")
 
 
 def _tagged(spark, d) -> DataFrame:
-    t = read(spark, d, "documents").select("doc_id", "source", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("entity"))
-    return t
+    """Entities of whole documents; accented letters part words, as they do in the SQL's patterns."""
+    plain = F.regexp_replace("text", "[^ -~\\n]", " ")
+    return read(spark, d, "documents").select("doc_id", "source", F.explode(S.entities(plain)).alias("entity"))
 
 
-_TAGGED = f"t AS (SELECT DISTINCT doc_id, source, unnest({_tokens('left(text, 200)')}) AS entity FROM documents)"
+_ENTITIES = """list_distinct(list_concat(regexp_extract_all(a, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1), regexp_extract_all(a, '\\b([A-Z]{2,}[a-z]*(?:\\s*[A-Z]{2,}[a-z]*)*)\\b', 1),
+  list_transform(list_filter(regexp_extract_all(a, '(?i)\\b(\\w+(?:ing|tion|ment|ity|ness|ance|ence|ism|ist|ics|ology|graphy))\\b', 1), lambda x: length(x) >= 5), lambda x: lower(x))))"""
+_TAGGED = f"t AS (SELECT doc_id, source, unnest({_ENTITIES}) AS entity FROM (SELECT doc_id, source, regexp_replace(text, '[^ -~\\n]', ' ', 'g') AS a FROM documents))"
 
 
-@query(f"WITH {_TAGGED} SELECT a.entity AS e1, b.entity AS e2, count(*) AS weight FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 3")
+@query(f"WITH {_TAGGED} SELECT a.entity AS e1, b.entity AS e2, count(*) AS weight FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL")
 def cooccurrence(spark, d):
     return C.cooccurrence(_tagged(spark, d), "doc_id", "entity")
 
@@ -468,7 +498,7 @@ def _edges(spark, d) -> DataFrame:
     return C.cooccurrence(_tagged(spark, d), "doc_id", "entity").select(F.col("e1").alias("u"), F.col("e2").alias("v"), F.col("weight").cast("double").alias("w"))
 
 
-_EDGES = f"{_TAGGED}, e AS (SELECT a.entity AS u, b.entity AS v, CAST(count(*) AS DOUBLE) AS w FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 3)"
+_EDGES = f"{_TAGGED}, e AS (SELECT a.entity AS u, b.entity AS v, CAST(count(*) AS DOUBLE) AS w FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL)"
 _WAYS = "way AS (SELECT u AS x, v AS y, w FROM e UNION ALL SELECT v, u, w FROM e)"
 
 
@@ -477,9 +507,9 @@ def graph_density(spark, d):
     return G.density(_edges(spark, d)).withColumn("density", F.round("density", 8))
 
 
-@query(f"WITH {_EDGES}, {_WAYS}, r0 AS (SELECT 'tion' AS x WHERE 'tion' IN (SELECT x FROM way)), r1 AS (SELECT x FROM r0 UNION SELECT y FROM way JOIN r0 USING (x)), r2 AS (SELECT x FROM r1 UNION SELECT y FROM way JOIN r1 USING (x)) SELECT x AS node FROM r2")
+@query(f"WITH {_EDGES}, {_WAYS}, r0 AS (SELECT 'thing' AS x WHERE 'thing' IN (SELECT x FROM way)), r1 AS (SELECT x FROM r0 UNION SELECT y FROM way JOIN r0 USING (x)), r2 AS (SELECT x FROM r1 UNION SELECT y FROM way JOIN r1 USING (x)) SELECT x AS node FROM r2")
 def k_hop(spark, d):
-    return G.k_hop(_edges(spark, d), "tion", 2)
+    return G.k_hop(_edges(spark, d), "thing", 2)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -496,7 +526,7 @@ def pagerank(spark, d):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, o_custkey - o_custkey % 7 AS v FROM orders WHERE o_orderkey % 3 = 0), way AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, o_custkey - o_custkey % 7 AS v FROM orders), way AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e),
 r(x, y) AS (SELECT x, x FROM way UNION SELECT r.x, way.y FROM r JOIN way ON r.y = way.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x"""
 )
 def components(spark, d):
@@ -588,11 +618,11 @@ def global_topics(spark, d):
 
 
 @query(
-    f"""WITH {_EDGES}, {_WAYS}, k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS n FROM way WHERE w >= 4)
+    f"""WITH {_EDGES}, {_WAYS}, k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS n FROM way WHERE w >= 2)
 SELECT DISTINCT least(x, y) AS u, greatest(x, y) AS v, w FROM k WHERE n <= 5"""
 )
 def sparsified_affinity(spark, d):
-    return C.sparsify(_edges(spark, d), 5, 4.0)
+    return C.sparsify(_edges(spark, d), 5, 2.0)
 
 
 @query(
@@ -608,7 +638,7 @@ def bridge_concepts(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id, unnest({_qa('text')}) AS s FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), b AS (SELECT list(text ORDER BY item_id) AS refs FROM benchmark WHERE item_id < 3),
+    f"""WITH s AS (SELECT doc_id, unnest({_qa('text')}) AS s FROM documents), b AS (SELECT list(text ORDER BY item_id) AS refs FROM benchmark),
 r AS (SELECT doc_id, s, list_distinct(list_transform({_tokens('s')}, lambda w: {_stem('w')})) AS st, list_transform(refs, lambda t: list_distinct(list_transform({_tokens('t')}, lambda w: {_stem('w')}))) AS rs, array_to_string(refs, ' ') AS whole FROM s, b)
 SELECT doc_id, count(*) AS n, count(*) FILTER (len(st) > 0 AND len(list_intersect(st, flatten(rs))) / len(st) >= 0.7 AND list_max(list_transform(rs, lambda x: len(list_intersect(st, x)))) / len(st) >= 0.3
   AND len(list_filter(regexp_extract_all(s, '\\b\\d+(?:\\.\\d+)?%?\\b'), lambda x: NOT list_contains(regexp_extract_all(whole, '\\b\\d+(?:\\.\\d+)?%?\\b'), x))) = 0) AS supported FROM r GROUP BY doc_id"""
