@@ -737,3 +737,210 @@ def events_tumbling(spark, d):
 @query("WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, s")
 def events_sessions(spark, d):
     return logs.session_counts(read(spark, d, "events"), "ts", "30 minutes", "user_id")
+
+
+# --- more text --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len({_sentences('text')}) AS n, md5(array_to_string({_sentences('text')}, '|')) AS sentences_md5 FROM documents")
+def sentences_plain(spark, d):
+    s = T.sentences_plain(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
+
+
+@query("SELECT page_id, coalesce(nullif(upper(regexp_extract(url, '\\.([^.]+)$', 1)), ''), 'DOC') AS source_type FROM pages")
+def source_types(spark, d):
+    return read(spark, d, "pages").select("page_id", T.source_type(F.col("url")).alias("source_type"))
+
+
+@query("SELECT conv_id, turn, md5(regexp_replace(text || '_*`', '([*_`])', '\\\\\\1', 'g')) AS escaped_md5 FROM conversations")
+def escaped_markdown(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.md5(T.escape_markdown(F.concat("text", F.lit("_*`")))).alias("escaped_md5"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(html, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')) AS safe_md5 FROM pages")
+def script_safe(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(T.script_safe(F.col("html"))).alias("safe_md5"))
+
+
+@query(f"SELECT conv_id, turn, {_strip('left(coalesce(text, chr(32)), 60)')} AS head FROM conversations")
+def capped_text(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.cap(F.col("text"), 60).alias("head"))
+
+
+_CAPPED = f"list_filter(list_transform(string_split(text, ' '), lambda x: {_strip('left(x, 4)')}), lambda x: x <> '')"
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_slice(list_filter({_CAPPED}, lambda x, i: list_position(list_transform({_CAPPED}, lambda y: lower(y)), lower(x)) = i), 1, 6), '|') AS terms FROM conversations")
+def ordered_terms(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.ordered_distinct(F.split("text", " "), 4, 6), "|").alias("terms"))
+
+
+_FILE = "'File' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.pptx' WHEN 1 THEN '.pdf' ELSE '.md' END"
+_HINT = "CASE s_suppkey % 5 WHEN 0 THEN ' Slides ' WHEN 1 THEN 'my notes' WHEN 2 THEN 'file' || (s_suppkey % 10) WHEN 3 THEN 'the paper' ELSE '' END"
+
+
+@query(
+    f"""SELECT s_suppkey, h <> '' AND CASE WHEN regexp_matches(h, 'slides?|presentation|ppt') THEN ends_with(f, '.pptx') WHEN regexp_matches(h, 'notes?|pdf|paper') THEN ends_with(f, '.pdf') ELSE contains(f, h) END AS hinted
+FROM (SELECT s_suppkey, lower({_FILE}) AS f, trim(lower({_HINT})) AS h FROM supplier)"""
+)
+def hinted_files(spark, d):
+    yes = F.lit(True)
+    return read(spark, d, "supplier").select("s_suppkey", T.hinted(F.expr(_FILE), F.expr(_HINT), yes, yes).alias("hinted"))
+
+
+_SAID = "p_brand || ' with ' || left(p_name, p_partkey % 14) || ' and ' || p_type"
+_CT = f"list_filter(regexp_extract_all(norm, '[a-z0-9_]+'), lambda w: NOT list_contains({_list(T.CONCEPT_STOPWORDS)}, w))"
+
+
+@query(
+    f"""SELECT p_partkey, norm <> '' AND NOT list_contains({_list(T.GENERIC_NAMES)}, norm) AND len({_CT}) > 0 AND (len(list_filter({_CT}, lambda w: contains(low, w))) / len({_CT}) >= 0.6
+  OR (regexp_matches(norm, '^[a-z0-9]{{2,6}}$') AND regexp_matches(low, '\\b' || norm || '\\b'))) AS grounded
+FROM (SELECT p_partkey, lower({_SAID}) AS low, {_strip('lower(CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN p_name WHEN 2 THEN split_part(p_name, chr(32), 1) ELSE chr(109) || chr(101) || chr(116) || chr(104) || chr(111) || chr(100) END)')} AS norm FROM part)"""
+)
+def grounded_names(spark, d):
+    n = F.col("p_partkey") % 4
+    name = F.when(n == 0, F.col("p_type")).when(n == 1, F.col("p_name")).when(n == 2, F.split("p_name", " ")[0]).otherwise("method")
+    return read(spark, d, "part").select("p_partkey", T.is_grounded(name, F.expr(_SAID.replace("left(p_name, p_partkey % 14)", "left(p_name, cast(p_partkey % 14 as int))"))).alias("grounded"))
+
+
+@query(
+    """SELECT source_file, heading, CAST(page AS INTEGER) AS page_or_slide, content FROM (
+  SELECT n_name AS source_file, unnest(['Section 1', n_name, 'Last one']) AS heading, unnest([1, 2, 4]) AS page, unnest(['intro ' || n_nationkey, 'body ' || n_regionkey || chr(10) || 'more', 'tail']) AS content FROM nation)"""
+)
+def sections_markdown(spark, d):
+    text = F.concat(F.lit("intro "), F.col("n_nationkey"), F.lit("\n# "), F.col("n_name"), F.lit(" \n\nbody "), F.col("n_regionkey"), F.lit("\nmore\n## Empty\n\n### Last one\ntail\n"))
+    return S.sections_markdown(read(spark, d, "nation").select(F.col("n_name").alias("name"), text.alias("content")))
+
+
+@query("SELECT role || '_chunk_' || printf('%04d', row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) AS id, conv_id, turn FROM conversations")
+def numbered_chunks(spark, d):
+    return S.number_chunks(read(spark, d, "conversations"), "role", ["conv_id", "turn"]).select("id", "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations) WHERE s <= 600")
+def strict_budget(spark, d):
+    return P.within_budget(read(spark, d, "conversations"), 600, "turn", F.length("text"), "conv_id", keep_first=False).select("conv_id", "turn")
+
+
+# --- claims -----------------------------------------------------------------------------------------------------------------
+
+_CLAIMS = "c AS (SELECT conv_id AS answer_id, turn AS claim_no, text, ['quote', 'paraphrase', 'weak', 'other'][1 + (turn + conv_id) % 4] AS kind, (turn * 37 + conv_id * 11) % 100 / 100.0 AS support_score, turn % 2 = 1 AS verified FROM conversations)"
+
+
+def _claims(spark, d) -> DataFrame:
+    kind = F.array(*(F.lit(k) for k in ("quote", "paraphrase", "weak", "other")))[((F.col("turn") + F.col("conv_id")) % 4).cast("int")]
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("claim_no"), "text", kind.alias("kind"), ((F.col("turn") * 37 + F.col("conv_id") * 11) % 100 / 100).alias("support_score"), (F.col("turn") % 2 == 1).alias("verified"))
+
+
+@query(f"WITH {_CLAIMS}, g AS (SELECT *, kind = 'quote' OR (kind = 'paraphrase' AND verified) OR support_score >= 0.7 AS good FROM c) SELECT answer_id, claim_no FROM g QUALIFY good OR count(*) FILTER (good) OVER (PARTITION BY answer_id) = 0")
+def kept_claims(spark, d):
+    return VF.keep_claims(_claims(spark, d)).select("answer_id", "claim_no")
+
+
+@query(f"WITH {_CLAIMS} SELECT answer_id, claim_no, kind FROM c WHERE kind IN ('weak', 'paraphrase') QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY kind <> 'weak', claim_no) <= 3")
+def claims_to_verify(spark, d):
+    return VF.to_verify(_claims(spark, d)).select("answer_id", "claim_no", "kind")
+
+
+@query(
+    f"""WITH {_CLAIMS}, v AS (SELECT answer_id, claim_no, claim_no % 2 = 0 AS holds FROM c WHERE claim_no % 3 <> 0)
+SELECT answer_id, claim_no, CASE WHEN coalesce(holds, true) THEN 'kept' ELSE 'dropped' END AS state, kind = 'quote' OR coalesce(holds, false) AS verified FROM c LEFT JOIN v USING (answer_id, claim_no)"""
+)
+def claim_verdicts(spark, d):
+    c = _claims(spark, d)
+    told = c.where("claim_no % 3 <> 0").select("answer_id", "claim_no", (F.col("claim_no") % 2 == 0).alias("holds"))
+    kept, dropped = VF.apply_verdicts(c, told)
+    both = kept.withColumn("state", F.lit("kept")).unionByName(dropped.withColumn("state", F.lit("dropped")))
+    return both.select("answer_id", "claim_no", "state", "verified")
+
+
+@query(f"WITH {_CLAIMS} SELECT answer_id, claim_no AS sid, row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY answer_id ORDER BY support_score DESC, claim_no) QUALIFY place <= 2")
+def fallback_claims(spark, d):
+    windows = _claims(spark, d).select("answer_id", F.col("claim_no").alias("sid"), "text", F.col("support_score").alias("score"))
+    out = VF.extractive_fallback(windows)
+    return out.select("answer_id", F.col("support")[0].alias("sid"), F.col("claim_no").cast("long").alias("place"))
+
+
+_INTENTS = list(VF.TARGET_WORDS)
+
+
+@query(
+    f"""SELECT event_id, words, CASE WHEN words <= 100 THEN 'short paragraphs' WHEN words <= 160 THEN 'paragraphs or one list' ELSE 'up to three subheadings' END AS shape FROM (
+  SELECT event_id, CASE {_list(_INTENTS + ['unheard'])}[1 + event_id % {len(_INTENTS) + 1}] {' '.join(f"WHEN '{k}' THEN {v}" for k, v in VF.TARGET_WORDS.items())} ELSE {VF.TARGET_WORDS['other']} END AS words FROM events)"""
+)
+def answer_shapes(spark, d):
+    intent = F.array(*(F.lit(k) for k in [*_INTENTS, "unheard"]))[(F.col("event_id") % (len(_INTENTS) + 1)).cast("int")]
+    return read(spark, d, "events").select("event_id", VF.target_words(intent).alias("words"), VF.structure_line(VF.target_words(intent)).alias("shape"))
+
+
+# --- more concepts, graphs and vectors ----------------------------------------------------------------------------------------
+
+
+@query("SELECT a.vec_id, round(CASE WHEN sqrt(list_dot_product(x, x)) < 1e-10 OR sqrt(list_dot_product(y, y)) < 1e-10 THEN 1.0 ELSE 1.0 - list_dot_product(x, y) / sqrt(list_dot_product(x, x)) / sqrt(list_dot_product(y, y)) END, 6) AS distance FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) a JOIN (SELECT vec_id - 1 AS vec_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings) b ON a.vec_id = b.vec_id")
+def cosine_distances(spark, d):
+    e = read(spark, d, "embeddings")
+    near = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y"))
+    return e.join(near, "vec_id").select("vec_id", F.round(V.cosine_distance(F.col("embedding"), F.col("y")), 6).alias("distance"))
+
+
+_MESH = "x AS (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b, l_quantity AS q FROM lineitem), u AS (SELECT least(a, b) AS u, greatest(a, b) AS v, sum(q) AS w FROM x WHERE a <> b GROUP BY ALL)"
+
+
+def _mesh(spark, d) -> DataFrame:
+    rows = read(spark, d, "lineitem").select((F.col("l_partkey") % 60).alias("a"), (F.col("l_suppkey") % 60).alias("b"), "l_quantity")
+    return G.undirected(rows, "a", "b", "l_quantity")
+
+
+@query(f"WITH {_MESH} SELECT u, v, round(w, 4) AS w FROM u")
+def undirected_edges(spark, d):
+    return _mesh(spark, d).select("u", "v", F.round("w", 4).alias("w"))
+
+
+@query(f"WITH {_MESH} SELECT node, count(*) AS degree, round(sum(w), 4) AS strength FROM (SELECT u AS node, w FROM u UNION ALL SELECT v, w FROM u) GROUP BY node")
+def node_degrees(spark, d):
+    return G.degrees(_mesh(spark, d)).select("node", "degree", F.round("strength", 4).alias("strength"))
+
+
+@query("SELECT least(user_id, event_id % 40) AS u, greatest(user_id, event_id % 40) AS v, count(*) AS w FROM events GROUP BY ALL")
+def running_edges(spark, d):
+    return logs.edge_weights(read(spark, d, "events").select(F.col("user_id").alias("e1"), (F.col("event_id") % 40).alias("e2")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30 AND l_orderkey IS NOT NULL)")
+def unprocessed_orders(spark, d):
+    done = read(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"))
+    return logs.unprocessed(read(spark, d, "orders"), done, "o_orderkey").select("o_orderkey")
+
+
+_NAMES = "n AS (SELECT DISTINCT unnest([p_name, p_name || ' ' || lower(p_type), 'core ' || p_name, p_name || ' system', 'general ' || p_name || ' framework']) AS a FROM part)"
+
+
+@query(
+    f"""WITH {_NAMES}, p AS (SELECT a, unnest([regexp_replace(a, ' (?:{'|'.join(C.SUFFIXES)})$', ''), regexp_replace(a, '^(?:{'|'.join(C.MODIFIERS)}) ', '')]) AS b FROM n)
+SELECT DISTINCT a, b FROM p WHERE a <> b AND b <> '' AND b IN (SELECT a FROM n)"""
+)
+def affix_merge(spark, d):
+    names = F.array("p_name", F.concat("p_name", F.lit(" "), F.lower("p_type")), F.concat(F.lit("core "), "p_name"), F.concat("p_name", F.lit(" system")), F.concat(F.lit("general "), "p_name", F.lit(" framework")))
+    return C.affix_pairs(read(spark, d, "part").select(F.explode(names).alias("key")))
+
+
+_NEAR = "p AS (SELECT p_name || ' ' || p_partkey AS a, CASE p_partkey % 2 WHEN 0 THEN p_name || ' of x' ELSE 'other of thing' END AS b, p_partkey * 7919 % 1000 / 1000.0 AS cosine FROM part)"
+
+
+@query(
+    f"""WITH {_NEAR}, auto AS (SELECT * FROM p WHERE cosine >= 0.88 AND (cosine >= 0.93 OR len(list_filter(list_intersect(string_split(a, ' '), string_split(b, ' ')), lambda w: NOT list_contains({_list(T.CONCEPT_STOPWORDS)}, w))) > 0)),
+band AS (SELECT * FROM p WHERE cosine >= 0.78 AND cosine < 0.88 ORDER BY cosine DESC, a, b LIMIT 30)
+SELECT a, b, round(cosine, 6) AS cosine, 'merged' AS decision, 'embedding' AS "by" FROM auto UNION ALL SELECT a, b, round(cosine, 6), 'kept_separate', 'judge' FROM band"""
+)
+def vector_merge(spark, d):
+    b = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" of x"))).otherwise("other of thing")
+    pairs = read(spark, d, "part").select(F.concat("p_name", F.lit(" "), "p_partkey").alias("a"), b.alias("b"), (F.col("p_partkey") * 7919 % 1000 / 1000).alias("cosine"))
+    return C.vector_pairs(pairs).select("a", "b", F.round("cosine", 6).alias("cosine"), "decision", "by")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.5 * coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END, 0) + 0.3 * coalesce(l_quantity / 50, 0) + 0.2 * coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 2 END, 0), 6) AS affinity FROM lineitem")
+def three_signals(spark, d):
+    n = F.col("l_linenumber")
+    a = C.affinity(F.when(n % 3 != 0, F.col("l_discount")), F.col("l_quantity") / 50, F.when(n % 2 == 0, F.col("l_discount") * 2))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(a, 6).alias("affinity"))

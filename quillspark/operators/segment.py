@@ -86,7 +86,7 @@ def semantic_chunks(sections: DataFrame, keys: list[str], content_col: str = "co
 def number_chunks(chunks: DataFrame, session_col: str, order: list[str]) -> DataFrame:
     """Chunk ids that run on through a session: {session}_chunk_0000 and so on."""
     seq = F.row_number().over(Window.partitionBy(session_col).orderBy(*order)) - 1
-    return chunks.withColumn("chunk_seq", seq).withColumn("id", F.concat(F.col(session_col), F.lit("_chunk_"), F.lpad(F.col("chunk_seq").cast("string"), 4, "0")))
+    return chunks.withColumn("chunk_seq", seq).withColumn("id", F.concat(F.col(session_col), F.lit("_chunk_"), F.format_string("%04d", "chunk_seq")))
 
 
 def parents(chunks: DataFrame, key: str = "parent_id", seq: str = "chunk_seq", text: str = "text", separator: str = "\n", most: int | None = None) -> DataFrame:
