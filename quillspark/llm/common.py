@@ -72,13 +72,13 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def write_blobs(blobs: DataFrame, out: str, between: str) -> None:
+def write_blobs(blobs: DataFrame, out: str, between: str, batch_rows: int = 2000) -> None:
     """Write the bytes of the one column to files under `out`, a file for each task, with `between` (ASCII) after each row.
 
     Spark's text writer passes bytes on as they are; it reaches every file system that Spark does, and its commit keeps
     one file of each task, also if tasks are lost or run twice.
     """
-    with settings(blobs.sparkSession, SMALL_BATCHES):
+    with settings(blobs.sparkSession, dict.fromkeys(SMALL_BATCHES, str(batch_rows))):
         blobs.select(F.col(blobs.columns[0]).cast("string")).write.option("lineSep", between).option("compression", "none").text(out)
 
 

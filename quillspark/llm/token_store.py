@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import chunks_of, read_blobs, release, scratch_path, write_blobs
-from quillspark.llm.tokens import BLOCK_CHARS, default_tokenizer, encoder
+from quillspark.llm.tokens import BLOCK_CHARS, MEMO_WORDS, default_tokenizer, encoder
 
 MAGIC = b"QTOK0002"
 #: Ids of one part at most, unless a single document has more.
@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, 2 * MEMO_WORDS)
         end = np.array([end_id], enc.dtype)
         task, part = TaskContext.get().partitionId(), 0
         names, arrays, held = [], [], 0
@@ -168,7 +168,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
         for pdf in batches:
             ids, texts = pdf["id"], pdf["text"].tolist()
             ids = [None if pd.isna(x) else int(x) for x in ids]
-            for a, b in chunks_of(texts, BLOCK_CHARS):
+            for a, b in chunks_of(texts, 2 * BLOCK_CHARS):
                 for d, t in zip(ids[a:b], enc.encode(texts[a:b])):
                     if held and held + len(t) + 1 > FILE_IDS:
                         yield full()
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
         if names:
             yield full()
 
-    write_blobs(sorted_rows.mapInPandas(run, "blob binary"), out, "\n")
+    write_blobs(sorted_rows.mapInPandas(run, "blob binary"), out, "\n", 4000)
 
 
 def _file_rows(data: bytes | TokenFile, start: int):

@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 
 from quillspark.llm.common import chunks_of, release
 
-#: Words that a worker remembers in each of two generations; the older one goes when the younger is full, which changes no result.
+#: Words that a worker remembers in each of two generations unless told otherwise; the older one goes when the younger is full, which
+#: changes no result.
 MEMO_WORDS = 150_000
 #: Characters of a block whose words are made distinct together.
 BLOCK_CHARS = 4 << 20
@@ -38,9 +39,10 @@ class Encoder:
     encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
         from tokenizers import Tokenizer
 
+        self.most = words or MEMO_WORDS
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -55,7 +57,7 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """ids of each of the distinct words."""
-        if len(self.young) > MEMO_WORDS:
+        if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         young, old, model, letters, width = self.young, self.old, self.tok.model.tokenize, self.letters, self.dtype.itemsize
 
@@ -119,7 +121,7 @@ class Encoder:
             else:
                 apart.append(i)
         low = [texts[i].lower() for i in apart]
-        for a, b in chunks_of(low, BLOCK_CHARS):
+        for a, b in chunks_of(low, 2 * BLOCK_CHARS):
             for i, x in zip(apart[a:b], self._block(low[a:b])):
                 out[i] = x
         for a, b in chunks_of([texts[i] for i in whole], BLOCK_CHARS):
@@ -128,11 +130,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int | None = None) -> Encoder:
     """The worker's encoder for a file; it outlives a task, as workers are used again."""
     release()
     home = sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker"))
     found = home.__dict__.setdefault("encoders", {})
     if path not in found:
         found[path] = Encoder(path)
+    found[path].most = words or MEMO_WORDS
     return found[path]
