@@ -17,7 +17,7 @@ SHORT_LIST = 12
 #: Signatures that one index task should hold.
 TASK_ENTRIES = 2_000_000
 #: Turns in which long lists are held against hubs before the rest is compared in blocks.
-HUB_TURNS = 2
+HUB_TURNS = 1
 #: Members of a long list that make up a block.
 BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -308,9 +308,11 @@ def _in_blocks(num: int, den: int):
 
 
 def _block_pairs(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of lists, (sig, fp, n, root): each block of a list meets each other in a task of its own."""
-    many = now.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("sig", "blocks")
-    rows = now.join(many.hint("merge"), "sig").join(sets.select("fp", "parity").hint("merge"), "fp").withColumn("block", F.expr("pmod(xxhash64(fp), blocks)").cast("int"))
+    """Candidate pairs (a, b) of lists, (sig, fp, n, length, root): each block of a list meets each other in a task of its own."""
+    # lists that one component has taken over have nothing left to find
+    mixed = now.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("sig")
+    rows = now.join(mixed.hint("merge"), "sig", "left_semi").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
+    rows = rows.join(sets.select("fp", "parity").hint("merge"), "fp").withColumn("block", F.expr("pmod(xxhash64(fp), blocks)").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("sig", "fp", "n", "root", "parity", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     # a cell for each pair of blocks, side by side for one list: ranges of cells share the work out evenly
@@ -348,7 +350,7 @@ def jaccard_links(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataF
     kept = keyed_join(keyed_join(lists, short, ["a", "band"], "left_semi", 24), lengths, ["sig"], "inner", 24)
     order = Window.partitionBy("a", "band").orderBy(F.desc("length"), "sig").rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("sum", F.sum("weight").over(order)).where("sum > slack")
-    open_, at_open = materialize(kept.select("sig", F.col("a").alias("fp"), F.col("na").alias("n")).distinct(), "jac-lists")
+    open_, at_open = materialize(kept.select("sig", F.col("a").alias("fp"), F.col("na").alias("n"), "length").distinct(), "jac-lists")
 
     # similar sets agree in more segments than both can miss in empty ones and long lists
     met = found.where("b is not null").groupBy("a", "b", "band").agg(F.sum("weight").alias("met"), F.max("slack").alias("ra"), F.max("slack_b").alias("rb"))
@@ -392,7 +394,7 @@ def jaccard_links(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataF
         roots, at_roots = joined()
         if turn > HUB_TURNS or not open_.take(1):
             break
-        now = open_.join(roots.toDF("fp", "root").hint("merge"), "fp", "left").select("sig", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        now = open_.join(roots.toDF("fp", "root").hint("merge"), "fp", "left").select("sig", "fp", "n", "length", F.coalesce("root", "fp").alias("root"))
         now, at_now = materialize(now, "jac-now")
         if turn == HUB_TURNS:
             fresh = _block_pairs(now, sets, num, den)
@@ -412,7 +414,7 @@ def jaccard_links(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataF
         fresh, at_fresh = materialize(fresh.join(told.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "jac-fresh")
         close, at_close = materialize(_close(fresh, sets, num, den), "jac-close")
         # a list goes on without its hubs, which have now been held against all others of it
-        still = now.join(hubs.select("sig").distinct().hint("merge"), "sig", "left_semi").select("sig", "fp", "n")
+        still = now.join(hubs.select("sig").distinct().hint("merge"), "sig", "left_semi").select("sig", "fp", "n", "length")
         old = at_open
         open_, at_open = materialize(still.join(hubs.select("sig", F.col("hub").alias("fp")).hint("merge"), ["sig", "fp"], "left_anti"), "jac-lists")
         tell(close, at_close, at_fresh, at_hubs, at_now, old, at_roots)
