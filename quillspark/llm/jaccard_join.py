@@ -314,11 +314,14 @@ def _block_pairs(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     rows = now.join(mixed.hint("merge"), "sig", "left_semi").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
     rows = rows.join(sets.select("fp", "parity").hint("merge"), "fp").withColumn("block", F.expr("pmod(xxhash64(fp), blocks)").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("sig", "fp", "n", "root", "parity", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    # a cell for each pair of blocks, side by side for one list: ranges of cells share the work out evenly
-    cell = F.expr("pmod(xxhash64(sig), 1L << 31) * (1L << 31) + hi * (hi + 1L) DIV 2 + lo")
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    # lists of one block share cells, so that a pair that meets in many of them comes out once or so; of longer ones each
+    # pair of blocks is a cell, side by side: ranges of cells share the work out evenly
     n = max(1, -(-now.count() // BLOCK))
-    return rows.withColumn("cell", cell).repartitionByRange(n, "cell").groupBy("cell").applyInPandas(_in_blocks(num, den), "a long, b long").distinct()
+    shared = max(1, n // 8)
+    cell = F.expr(f"CASE WHEN blocks = 1 THEN pmod(xxhash64(sig), {shared}) - {shared} ELSE pmod(xxhash64(sig), 1L << 31) * (1L << 31) + hi * (hi + 1L) DIV 2 + lo END")
+    rows = rows.withColumn("cell", cell).select("sig", "fp", "n", "root", "parity", "block", "lo", "hi", "cell")
+    return rows.repartitionByRange(n, "cell").groupBy("cell").applyInPandas(_in_blocks(num, den), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
