@@ -930,7 +930,7 @@ _NEAR = "p AS (SELECT p_name || ' ' || p_partkey AS a, CASE p_partkey % 2 WHEN 0
 
 @query(
     f"""WITH {_NEAR}, auto AS (SELECT * FROM p WHERE cosine >= 0.88 AND (cosine >= 0.93 OR len(list_filter(list_intersect(string_split(a, ' '), string_split(b, ' ')), lambda w: NOT list_contains({_list(T.CONCEPT_STOPWORDS)}, w))) > 0)),
-band AS (SELECT * FROM p WHERE cosine >= 0.78 AND cosine < 0.88 ORDER BY cosine DESC, a, b LIMIT 30)
+band AS (SELECT * FROM p WHERE cosine >= 0.78 AND cosine < 0.88 AND len(list_filter(list_intersect(string_split(a, ' '), string_split(b, ' ')), lambda w: NOT list_contains({_list(T.CONCEPT_STOPWORDS)}, w))) > 0 ORDER BY cosine DESC, a, b LIMIT 30)
 SELECT a, b, round(cosine, 6) AS cosine, 'merged' AS decision, 'embedding' AS "by" FROM auto UNION ALL SELECT a, b, round(cosine, 6), 'kept_separate', 'judge' FROM band"""
 )
 def vector_merge(spark, d):

@@ -80,17 +80,30 @@ def affix_pairs(keys: DataFrame, key: str = "key") -> DataFrame:
     return cut.join(k.select(F.col("a").alias("b")), "b", "left_semi")
 
 
-def vector_pairs(pairs: DataFrame, judge: Column | None = None) -> DataFrame:
-    """(a, b, cosine, decision, by) of pairs (a, b, cosine): merged if near and sharing a word, or very near; the band below goes to a judge.
+def alias_pairs(keys: DataFrame, aliases: DataFrame, key: str = "key") -> DataFrame:
+    """(a, b) of aliases (acronym, expansion) that are both keys; aliases with nulls join nothing."""
+    k = keys.select(key).distinct()
+    both = aliases.select(F.col("acronym").alias("a"), F.col("expansion").alias("b")).distinct()
+    return both.join(k.select(F.col(key).alias("a")), "a", "left_semi").join(k.select(F.col(key).alias("b")), "b", "left_semi").select("a", "b")
+
+
+def vector_pairs(pairs: DataFrame, judge: Column | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(a, b, cosine, decision, by) of pairs (a, b, cosine): merged if near and sharing a word or linked by an alias, or very near.
 
-    At most JUDGED pairs, nearest first, are judged; without a judge they are kept apart.
+    The band below goes to a judge if it passes the same gate: at most JUDGED pairs, nearest first; without a judge they
+    are kept apart.
     """
     stop = T.words_in(T.CONCEPT_STOPWORDS)
     share = F.size(F.array_except(F.array_intersect(F.split("a", " "), F.split("b", " ")), stop)) > 0
+    if aliases is not None:
+        ways = aliases.select(F.col("acronym").alias("a"), F.col("expansion").alias("b"))
+        ways = ways.unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("__alias", F.lit(True))
+        pairs = pairs.join(ways, ["a", "b"], "left").select(*(F.col(f"`{c}`") for c in pairs.columns), F.coalesce("__alias", F.lit(False)).alias("__alias"))
+        share = share | F.col("__alias")
     auto = pairs.where((F.col("cosine") >= AUTO_COSINE) & (share | (F.col("cosine") >= FREE_COSINE))).withColumn("decision", F.lit("merged")).withColumn("by", F.lit("embedding"))
-    band = pairs.where((F.col("cosine") >= JUDGE_COSINE) & (F.col("cosine") < AUTO_COSINE)).orderBy(F.desc("cosine"), "a", "b").limit(JUDGED)
+    band = pairs.where((F.col("cosine") >= JUDGE_COSINE) & (F.col("cosine") < AUTO_COSINE) & share).orderBy(F.desc("cosine"), "a", "b").limit(JUDGED)
     told = F.coalesce(judge, F.lit(False)) if judge is not None else F.lit(False)
-    return auto.unionByName(band.withColumn("decision", F.when(told, "merged").otherwise("kept_separate")).withColumn("by", F.lit("judge")))
+    return auto.unionByName(band.withColumn("decision", F.when(told, "merged").otherwise("kept_separate")).withColumn("by", F.lit("judge"))).drop("__alias")
 
 
 def canonical(keys: DataFrame, pairs: DataFrame, key: str = "key") -> DataFrame:

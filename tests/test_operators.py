@@ -164,6 +164,29 @@ def test_concepts(spark):
     assert {(r[0], r[1]) for r in C.settle_directions(rels).collect()} == {("a", "type_of"), ("a", "uses")}
 
 
+def test_aliases_join_concepts(spark):
+    kind = lambda *names: [(n, "component") for n in names]
+    rows = [
+        ("c0", 0, "f", kind("Ordinary Least Squares", "Residual"), [("Ordinary Least Squares", "uses", "Residual", "e")]),
+        ("c1", 1, "f", kind("OLS", "Variance"), [("OLS", "uses", "Variance", "e"), ("PCA", "uses", "Variance", "e")]),
+        ("c2", 2, "f", kind("Principal Component Analysis", "Zebra"), []),
+    ]
+    ext = spark.createDataFrame(rows, "chunk_id string, seq long, source_file string, concepts array<struct<name:string,kind:string>>, relations array<struct<source:string,relation:string,target:string,evidence:string>>")
+    texts = spark.createDataFrame([(0, "Ordinary Least Squares (OLS) and Principal Component Analysis (PCA)."), (1, None), (2, "Not Known Here (NKH)")], "seq long, text string")
+    aliases = S.acronym_aliases(texts, "text", "seq")
+    cs, rels = concept_map.consolidate(ext, aliases=aliases)
+    # keys lose one last s beyond three letters
+    pca = "principal component analysi"
+    assert {r["canon"]: r["support"] for r in cs.collect()} == {"ols": 2, "residual": 1, "variance": 1, pca: 1, "zebra": 1}
+    ends = {(r["source_key"], r["target_key"]) for r in rels.collect()}
+    assert ends == {("ols", "residual"), ("ols", "variance"), (pca, "variance")}
+    plain, _ = concept_map.consolidate(ext)
+    assert plain.count() == 6 and concept_map.consolidate(ext, aliases=aliases.limit(0))[0].count() == 6
+    pairs = spark.createDataFrame([("ols", "ordinary least square", 0.9), ("x", "y", 0.9), ("pca", pca, 0.8), ("x", "z", 0.8)], "a string, b string, cosine double")
+    got = {(r["a"], r["decision"]) for r in C.vector_pairs(pairs, aliases=aliases).collect()}
+    assert got == {("ols", "merged"), ("pca", "kept_separate")}
+
+
 def pptx() -> bytes:
     a, p, r = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     shape = lambda t, kind="": f"<p:sp><p:nvSpPr><p:nvPr>{kind}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
