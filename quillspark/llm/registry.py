@@ -1,6 +1,6 @@
 """Queries of this subpackage, with SQL where SQL can say the same."""
 
-from quillspark.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, one_bit_search, packing, prefix_trie, quality, token_store, vector_dedup, warc
+from quillspark.llm import alignment, exact_dedup, jaccard_join, language_id, line_dedup, mixing, one_bit_search, packing, prefix_trie, quality, token_store, vector_dedup, warc
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_projection_forest_dedup": vector_dedup.query,
     "op9_streaming_exact_dedup": exact_dedup.query,
     "op10_bloom_line_dedup": line_dedup.query,
+    "op11_cross_alignment": alignment.query,
     "op12_prefix_trie": prefix_trie.query,
     "op13_one_bit_search": one_bit_search.query,
 }
