@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import base64
+import itertools
 import json
 import re
 import sys
@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks_of, keyed_join, materialize, release
+from quillspark.llm.common import keyed_join, materialize, release
 
-#: Bytes of text whose words are tokenised together, and of words that are encoded as one text.
-BLOCK_BYTES, JOINED_BYTES = 8 << 20, 256 << 10
+#: Characters of texts whose words are tokenised together, and bytes of words that are encoded as one text.
+BLOCK_CHARS, JOINED_BYTES = 24 << 20, 256 << 10
+#: Tokens of a word among which ends are looked for one by one.
+SHORT = 32
 #: A text is parted before spaces that follow anything but white space. Neither tokenizer joins what stands on both sides.
 _PART = re.compile(r"(?<=\S)(?= )")
 #: White space next to white space, where parting at each space would be wrong.
@@ -36,6 +38,9 @@ def _byte_letters() -> dict[str, int]:
 class ByteLevel:
     """Byte-level BPE of a tokenizers file; ids and the bytes of each id."""
 
+    #: whether texts always come back: ranks over bytes leave nothing out
+    lossless = property(lambda self: self.ranked)
+
     def __init__(self, path: str):
         import tiktoken
 
@@ -61,13 +66,22 @@ class ByteLevel:
         #: whether words can be encoded by themselves
         self.parts = self.ranked
 
-    def encode(self, text: str) -> list[int]:
-        return self._encode(text)
+    def encode_words(self, words: list[str], size: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words and the number of each word's; many words go as one text."""
+        ids, counts, over = [], np.zeros(len(words), np.int64), np.cumsum(size)
+        cuts = np.unique(np.searchsorted(over, np.arange(0, int(size.sum()), JOINED_BYTES), "left")) if self.ranked else np.arange(len(words))
+        for a, b in zip(cuts, [*cuts[1:], len(words)]):
+            x = np.array(self._encode("".join(words[a:b])), np.int32)
+            ids.append(x)
+            counts[a:b] = np.bincount(np.searchsorted(over[a:b] - over[a] + size[a], np.cumsum(sizes[x])), minlength=b - a)[: b - a] if b - a > 1 else len(x)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts
 
 
 class Pieces:
     """A sentencepiece model that puts a space before the text; ids and the bytes of each id."""
 
+    lossless = False
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -83,9 +97,11 @@ class Pieces:
                 whole = whole and "▁" not in p.lstrip("▁")
         self.parts = whole
 
-    def encode(self, text: str) -> list[int]:
-        """ids of a text that begins with a space: the model adds that one itself."""
-        return self.model.encode(text[1:])
+    def encode_words(self, words: list[str], size: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words and the number of each word's; the model itself adds the space that they begin with."""
+        lists = self.model.encode([w[1:] for w in words], num_threads=1)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
 
 def load(path: str):
@@ -105,50 +121,35 @@ def _kept(path: str):
     return found[path]
 
 
-def _encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _encode_words(words: list[str], size: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ends within the word, tokens of each word, whether each word's bytes are those of its tokens); words begin with a space."""
     tok, sizes = _kept(path)
-    size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
-    ids, ends, counts, good = [], [], np.zeros(len(words), np.int64), np.ones(len(words), bool)
-
-    def one(a: int, b: int) -> None:
-        text = "".join(words[a:b])
-        x = np.array(tok.encode(text), np.int32)
-        same = b"".join([tok.bytes.get(i, b"") for i in x.tolist()]) == text.encode()
-        if not same and b - a > 1:
-            for m in range(a, b):  # find the word
-                one(m, m + 1)
-            return
-        if not same:
-            good[a] = False
-            return
-        stop, over = np.cumsum(sizes[x]), np.cumsum(size[a:b])
-        of = np.searchsorted(over, stop)
-        counts[a:b] = np.bincount(of, minlength=b - a)
-        ids.append(x)
-        ends.append(stop - (over - size[a:b])[of])
-
-    for a, b in chunks_of(words, JOINED_BYTES if tok.parts else 1):
-        one(a, b)
-    flat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-    return flat(ids, np.int32), flat(ends, np.int32), counts, good
-
-
-def _parted(texts: list[str], whole: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, the word at each place, words of each text) of texts that begin with a space."""
+    ids, counts = tok.encode_words(words, size, sizes)
+    good = np.ones(len(words), bool)
+    if not tok.lossless and b"".join(map(tok.bytes.get, ids.tolist())) != "".join(words).encode():
+        at = np.cumsum(counts) - counts
+        good = np.array([b"".join([tok.bytes.get(i, b"") for i in ids[s : s + n].tolist()]) == w.encode() for s, n, w in zip(at, counts, words)])
+        ids, counts, size = ids[np.repeat(good, counts)], np.where(good, counts, 0), np.where(good, size, 0)
+    return ids, (np.cumsum(sizes[ids], dtype=np.int64) - np.repeat(np.cumsum(size) - size, counts)).astype(np.int32), counts, good
+
+
+def _parted(texts: list[str], whole: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their bytes, the word at each place, words of each text, the texts' order) of texts that begin with a space."""
     if whole:
-        return texts, np.arange(len(texts), dtype=np.int32), np.ones(len(texts), np.int64)
-    wide = [i for i, t in enumerate(texts) if t[-1].isspace() or _WIDE.search(t)]
-    lists = pc.split_pattern(pa.array([t[1:] for t in texts], pa.large_string()), " ")
-    if wide:
-        held = lists.to_pylist()
-        for i in wide:
-            # without the first space, as the others
-            held[i] = [w[1:] for w in _PART.split(texts[i])]
-        lists = pa.array(held, pa.large_list(pa.large_string()))
-    n = np.diff(np.asarray(lists.offsets))
-    coded = lists.flatten().dictionary_encode()
-    return [f" {w}" for w in coded.dictionary.to_pylist()], np.asarray(coded.indices).astype(np.int32), n
+        return texts, np.array([len(t.encode()) for t in texts], np.int64), np.arange(len(texts), dtype=np.int32), np.ones(len(texts), np.int64), np.arange(len(texts))
+    wide = np.fromiter((t[-1].isspace() or _WIDE.search(t) is not None for t in texts), bool, len(texts))
+    order = np.argsort(wide, kind="stable")
+    n_wide = int(wide.sum())
+    lists = pc.split_pattern(pa.array([texts[i][1:] for i in order[: len(texts) - n_wide]], pa.large_string()), " ")
+    # without the first space, as the others
+    apart = pa.array([[w[1:] for w in _PART.split(texts[i])] for i in order[len(texts) - n_wide :]], pa.large_list(pa.large_string()))
+    n = np.concatenate([np.diff(np.asarray(x.offsets)) for x in (lists, apart)])
+    coded = pa.concat_arrays([lists.flatten(), apart.flatten()]).dictionary_encode()
+    words = coded.dictionary
+    # one text that is parted again: no object of Arrow's for each word
+    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar("\x00 ", pa.large_string()))[0].as_py() if len(words) else ""
+    named = f" {joined}".split("\x00") if "\x00" not in joined.replace("\x00 ", "") and joined.count("\x00") == len(words) - 1 else [f" {w}" for w in words.to_pylist()]
+    return named, np.asarray(pc.binary_length(words)).astype(np.int64) + 1, np.asarray(coded.indices).astype(np.int32), n, order
 
 
 def _nested(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -162,7 +163,7 @@ _BLOCK = pa.schema([
 _BLOCK_SQL = "words array<struct<a: array<int>, ae: array<int>, b: array<int>, be: array<int>>>, docs array<struct<id: bigint, w: array<int>>>"
 
 
-def tokenize_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def tokenize_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(words, docs) of blocks of texts: distinct words with both tokenizers' ids and byte ends, and each text as places of words.
 
     Texts get a space in front. A text that is null or empty, or whose tokens don't have its bytes, has no words. Where a
@@ -170,38 +171,43 @@ def tokenize_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     """
 
     def block(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        some = [i for i, t in enumerate(texts) if t]
-        words, at, n = _parted([f" {texts[i]}" for i in some], not (_kept(path_a)[0].parts and _kept(path_b)[0].parts)) if some else ([], np.zeros(0, np.int32), np.zeros(0, np.int64))
-        a, ae, na, good_a = _encode_words(words, path_a)
-        b, be, nb, good_b = _encode_words(words, path_b)
+        some = np.flatnonzero([bool(t) for t in texts])
+        words, size, at, n, order = _parted([f" {texts[i]}" for i in some], not (_kept(path_a)[0].parts and _kept(path_b)[0].parts))
+        a, ae, na, good_a = _encode_words(words, size, path_a)
+        b, be, nb, good_b = _encode_words(words, size, path_b)
         of = np.repeat(np.arange(len(n)), n)
         bad = np.zeros(len(n), bool)
         bad[of[~(good_a & good_b)[at]]] = True
         at, n = at[~bad[of]], np.where(bad, 0, n)
-        counts = np.zeros(len(texts), np.int64)
-        counts[some] = n
+        # texts without tokens come last
+        rest = np.setdiff1d(np.arange(len(texts)), some)
+        counts, ids = np.concatenate([n, np.zeros(len(rest), np.int64)]), ids.take(pa.array(np.concatenate([some[order], rest])))
         columns = pa.StructArray.from_arrays([_nested(a, na), _nested(ae, na), _nested(b, nb), _nested(be, nb)], fields=list(_BLOCK.field("words").type.value_type))
         listed = pa.StructArray.from_arrays([ids, _nested(at, counts)], fields=list(_BLOCK.field("docs").type.value_type))
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (columns, listed)], schema=_BLOCK)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks_of([t or "" for t in texts], block_bytes):
-                yield block(batch.column(0).slice(a, b - a), texts[a:b])
-                release()
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _BLOCK_SQL)
+        ids, texts, held = [], [], 0
 
+        def full():
+            nonlocal ids, texts, held
+            out = block(pa.array(ids, pa.int64()), texts)
+            ids, texts, held = [], [], 0
+            release()
+            return out
 
-def _marks(common: Column) -> Column:
-    """A byte for each byte of the word: 1 where both tokenizers end."""
-    return F.array_join(F.transform(common, lambda e, k: F.lpad(F.lit("1"), e - F.when(k > 0, F.get(common, k - 1)).otherwise(0), F.lit("0"))), "").cast("binary")
-
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len(t) if t else 0
+                if held and held + n > block_chars:
+                    yield full()
+                ids.append(i)
+                texts.append(t)
+                held += n
+        if ids:
+            yield full()
 
-def _cuts(ends: Column, marks: Column) -> Column:
-    """Numbers of the tokens, from 1, whose ends are marked."""
-    return F.filter(F.sequence(F.lit(1), F.size(ends)), lambda i: F.substring(marks, F.get(ends, i - 1), F.lit(1)) == F.lit(b"1"))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _BLOCK_SQL)
 
 
 def _let(value: Column, then) -> Column:
@@ -209,26 +215,49 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _marked(common: Column, ends: list[Column]) -> list[Column]:
+    """Numbers of the tokens, from 1, that end at common ends, in time proportional to the word.
+
+    A text of 0 and 1 has a 1 for each byte where both end; a byte of it tells whether a token does.
+    """
+    marks = F.array_join(F.transform(common, lambda e, k: F.lpad(F.lit("1"), e - F.when(k > 0, F.get(common, k - 1)).otherwise(0), F.lit("0"))), "").cast("binary")
+    numbers = lambda m, e: F.filter(F.sequence(F.lit(1), F.size(e)), lambda i: F.substring(m, F.get(e, i - 1), F.lit(1)) == F.lit(b"1"))
+    return _let(marks, lambda m: F.array(*(numbers(m, e) for e in ends)))
+
+
 def align_word(w: Column) -> Column:
     """(groups, links, na, nb) of a word's tokens: what stands between common ends as text, and pairs of ids that end together.
 
-    Work is in proportion to the word's length: common ends become marks, which say in one step whether a token ends there.
+    The places of common ends are looked for in words of up to SHORT tokens and marked in longer ones.
     """
-    text = lambda ids, cut, k: F.array_join(F.slice(ids, F.when(k > 1, F.get(cut, k - 2)).otherwise(0) + 1, F.get(cut, k - 1) - F.when(k > 1, F.get(cut, k - 2)).otherwise(0)).cast("array<string>"), ",")
 
-    def with_cuts(c: Column) -> Column:
-        every = F.sequence(F.lit(1), F.size(c["i"]))
-        groups = F.array_join(F.transform(every, lambda k: F.concat(text(w["a"], c["i"], k), F.lit("|"), text(w["b"], c["j"], k))), ";")
-        links = F.transform(every, lambda k: F.get(w["a"], F.get(c["i"], k - 1) - 1).cast("long") * (1 << 32) + F.get(w["b"], F.get(c["j"], k - 1) - 1))
-        return F.struct(groups.alias("groups"), links.alias("links"), F.size(w["a"]).alias("na"), F.size(w["b"]).alias("nb"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+
+    def places(common: Column) -> Column:
+        short = (F.size(w["a"]) <= SHORT) & (F.size(w["b"]) <= SHORT)
+        looked_for = F.transform(common, lambda e: pair(F.array_position(w["ae"], e).cast("int"), F.array_position(w["be"], e).cast("int")))
+        return F.when(short, looked_for).otherwise(_let(_marked(common, [w["ae"], w["be"]]), lambda m: F.zip_with(F.get(m, F.lit(0)), F.get(m, F.lit(1)), pair)))
+
+    def parts(x: Column) -> Column:
+        """x: names of the tokens, and the numbers of those that end groups."""
+        piece = lambda names, past, last: F.array_join(F.slice(names, past + 1, last - past), ",")
+        between = lambda p, q: F.concat(piece(x["a"], p["i"], q["i"]), F.lit("|"), piece(x["b"], p["j"], q["j"]))
+        before = F.concat(F.array(pair(F.lit(0), F.lit(0))), F.slice(x["c"], F.lit(1), F.size(x["c"]) - 1))
+        return F.zip_with(before, x["c"], between)
+
+    def both(c: Column) -> Column:
+        names = lambda ids: ids.cast("array<string>")
+        one = F.concat(F.array_join(names(w["a"]), ","), F.lit("|"), F.array_join(names(w["b"]), ","))
+        more = F.array_join(_let(F.struct(names(w["a"]).alias("a"), names(w["b"]).alias("b"), c.alias("c")), parts), ";")
+        links = F.transform(c, lambda q: F.shiftleft(F.get(w["a"], q["i"] - 1).cast("long"), 32) + F.get(w["b"], q["j"] - 1))
+        return F.struct(F.when(F.size(c) == 1, one).otherwise(more).alias("groups"), links.alias("links"), F.size(w["a"]).alias("na"), F.size(w["b"]).alias("nb"))
 
-    marks = lambda common: _let(_marks(common), lambda m: F.struct(_cuts(w["ae"], m).alias("i"), _cuts(w["be"], m).alias("j")))
     # a word that a tokenizer couldn't give back has no tokens
     some = (F.size(w["a"]) > 0) & (F.size(w["b"]) > 0)
-    return F.when(some, _let(_let(F.array_intersect(w["ae"], w["be"]), marks), with_cuts))
+    return F.when(some, _let(_let(F.array_intersect(w["ae"], w["be"]), places), both))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, n_a, n_b, groups, links) of every row: tokens of both tokenizers, groups cut where both end, and linked ids.
 
     groups reads `a1,a2|b1;a3|b2,b3` in decimal ids; links are a * 2**32 + b, one for each common end. Python tokenises the
@@ -244,7 +273,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         links = lambda w: F.flatten(F.transform(w, lambda i: F.get(known, i)["links"]))
         return F.transform(docs, lambda d: F.struct(d["id"].alias("id"), total(d["w"], "na").alias("n_a"), total(d["w"], "nb").alias("n_b"), joined(d["w"]).alias("groups"), links(d["w"]).alias("links")))
 
-    blocks = tokenize_blocks(docs, path_a, path_b, id_col, text_col, block_bytes)
+    blocks = tokenize_blocks(docs, path_a, path_b, id_col, text_col, block_chars)
     return blocks.select(F.inline(_let(F.transform("words", align_word), lambda known: texts(known, F.col("docs")))))
 
 
