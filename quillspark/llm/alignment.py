@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import keyed_join, materialize, release
 
 #: Characters of texts whose words are tokenised together, and bytes of words that are encoded as one text.
-BLOCK_CHARS, JOINED_BYTES = 24 << 20, 256 << 10
+BLOCK_CHARS, JOINED_BYTES = 8 << 20, 256 << 10
 #: Tokens of a word among which ends are looked for one by one.
 SHORT = 32
 #: A text is parted before spaces that follow anything but white space. Neither tokenizer joins what stands on both sides.
