@@ -11,13 +11,13 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import keyed_join, materialize, release
 
 #: Characters of texts whose words are tokenised together, and bytes of words that are encoded as one text.
-BLOCK_CHARS, JOINED_BYTES = 8 << 20, 256 << 10
+BLOCK_CHARS, JOINED_BYTES = 4 << 20, 256 << 10
 #: Tokens of a word among which ends are looked for one by one.
 SHORT = 32
 #: A text is parted before spaces that follow anything but white space. Neither tokenizer joins what stands on both sides.
@@ -210,51 +210,44 @@ def tokenize_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _BLOCK_SQL)
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+#: Marks of a word longer than SHORT: a text with a 1 for each byte where both tokenizers end and 0 for the others.
+_MARKS = "CAST(array_join(transform(x.c, (e, k) -> lpad('1', e - IF(k > 0, get(x.c, k - 1), 0), '0')), '') AS BINARY)"
 
 
-def _marked(common: Column, ends: list[Column]) -> list[Column]:
-    """Numbers of the tokens, from 1, that end at common ends, in time proportional to the word.
+def _places(ends: str) -> str:
+    """SQL: numbers, from 1, of the tokens with these ends that end at common ends (x.c), in time proportional to the word."""
+    marked = f"filter(sequence(1, size(x.{ends})), i -> substring(m, get(x.{ends}, i - 1), 1) = X'31')"
+    return f"IF(size(x.ae) <= {SHORT} AND size(x.be) <= {SHORT}, transform(x.c, e -> CAST(array_position(x.{ends}, e) AS INT)), get(transform(array({_MARKS}), m -> {marked}), 0))"
 
-    A text of 0 and 1 has a 1 for each byte where both end; a byte of it tells whether a token does.
-    """
-    marks = F.array_join(F.transform(common, lambda e, k: F.lpad(F.lit("1"), e - F.when(k > 0, F.get(common, k - 1)).otherwise(0), F.lit("0"))), "").cast("binary")
-    numbers = lambda m, e: F.filter(F.sequence(F.lit(1), F.size(e)), lambda i: F.substring(m, F.get(e, i - 1), F.lit(1)) == F.lit(b"1"))
-    return _let(marks, lambda m: F.array(*(numbers(m, e) for e in ends)))
-
-
-def align_word(w: Column) -> Column:
-    """(groups, links, na, nb) of a word's tokens: what stands between common ends as text, and pairs of ids that end together.
-
-    The places of common ends are looked for in words of up to SHORT tokens and marked in longer ones.
-    """
 
-    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+def _piece(ids: str, at: str) -> str:
+    past = f"IF(k > 0, get(y.{at}, k - 1), 0)"
+    return f"array_join(CAST(slice(y.{ids}, {past} + 1, get(y.{at}, k) - {past}) AS ARRAY<STRING>), ',')"
 
-    def places(common: Column) -> Column:
-        short = (F.size(w["a"]) <= SHORT) & (F.size(w["b"]) <= SHORT)
-        looked_for = F.transform(common, lambda e: pair(F.array_position(w["ae"], e).cast("int"), F.array_position(w["be"], e).cast("int")))
-        return F.when(short, looked_for).otherwise(_let(_marked(common, [w["ae"], w["be"]]), lambda m: F.zip_with(F.get(m, F.lit(0)), F.get(m, F.lit(1)), pair)))
 
-    def parts(x: Column) -> Column:
-        """x: names of the tokens, and the numbers of those that end groups."""
-        piece = lambda names, past, last: F.array_join(F.slice(names, past + 1, last - past), ",")
-        between = lambda p, q: F.concat(piece(x["a"], p["i"], q["i"]), F.lit("|"), piece(x["b"], p["j"], q["j"]))
-        before = F.concat(F.array(pair(F.lit(0), F.lit(0))), F.slice(x["c"], F.lit(1), F.size(x["c"]) - 1))
-        return F.zip_with(before, x["c"], between)
-
-    def both(c: Column) -> Column:
-        names = lambda ids: ids.cast("array<string>")
-        one = F.concat(F.array_join(names(w["a"]), ","), F.lit("|"), F.array_join(names(w["b"]), ","))
-        more = F.array_join(_let(F.struct(names(w["a"]).alias("a"), names(w["b"]).alias("b"), c.alias("c")), parts), ";")
-        links = F.transform(c, lambda q: F.shiftleft(F.get(w["a"], q["i"] - 1).cast("long"), 32) + F.get(w["b"], q["j"] - 1))
-        return F.struct(F.when(F.size(c) == 1, one).otherwise(more).alias("groups"), links.alias("links"), F.size(w["a"]).alias("na"), F.size(w["b"]).alias("nb"))
-
-    # a word that a tokenizer couldn't give back has no tokens
-    some = (F.size(w["a"]) > 0) & (F.size(w["b"]) > 0)
-    return F.when(some, _let(_let(F.array_intersect(w["ae"], w["be"]), places), both))
+#: From words to (groups, links, na, nb): what stands between common ends as text, and pairs of ids that end together.
+#: Steps go over all words one after the other; a word that a tokenizer couldn't give back has no tokens.
+ALIGN_WORDS = f"""
+transform(
+  transform(
+    transform(words, w -> named_struct('a', w.a, 'b', w.b, 'ae', w.ae, 'be', w.be, 'c', array_intersect(w.ae, w.be))),
+    x -> named_struct('a', x.a, 'b', x.b, 'i', {_places("ae")}, 'j', {_places("be")})),
+  y -> named_struct(
+    'groups', CASE WHEN size(y.i) = 0 THEN NULL
+      WHEN size(y.i) = 1 THEN concat(array_join(CAST(y.a AS ARRAY<STRING>), ','), '|', array_join(CAST(y.b AS ARRAY<STRING>), ','))
+      ELSE array_join(transform(y.i, (q, k) -> concat({_piece("a", "i")}, '|', {_piece("b", "j")})), ';') END,
+    'links', zip_with(y.i, y.j, (m, n) -> shiftleft(CAST(get(y.a, m - 1) AS BIGINT), 32) + get(y.b, n - 1)),
+    'na', size(y.a), 'nb', size(y.b)))
+"""
+#: From places of words to texts; `known` are the aligned words.
+ALIGN_TEXTS = f"""
+inline(get(transform(array({ALIGN_WORDS}), known -> transform(docs, d -> named_struct(
+  'id', d.id,
+  'n_a', aggregate(d.w, 0L, (s, i) -> s + get(known, i).na),
+  'n_b', aggregate(d.w, 0L, (s, i) -> s + get(known, i).nb),
+  'groups', array_join(transform(d.w, i -> get(known, i).groups), ';'),
+  'links', flatten(transform(d.w, i -> get(known, i).links))))), 0))
+"""
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -266,15 +259,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     Null and empty texts, and such as a tokenizer doesn't give back byte for byte, have no tokens: zeros, '' and no links.
     Null ids and repeated rows stay as they are; an empty table gives an empty one. Extra columns are ignored.
     """
-
-    def texts(known: Column, docs: Column) -> Column:
-        total = lambda w, name: F.aggregate(w, F.lit(0).cast("long"), lambda s, i: s + F.get(known, i)[name])
-        joined = lambda w: F.array_join(F.transform(w, lambda i: F.get(known, i)["groups"]), ";")
-        links = lambda w: F.flatten(F.transform(w, lambda i: F.get(known, i)["links"]))
-        return F.transform(docs, lambda d: F.struct(d["id"].alias("id"), total(d["w"], "na").alias("n_a"), total(d["w"], "nb").alias("n_b"), joined(d["w"]).alias("groups"), links(d["w"]).alias("links")))
-
-    blocks = tokenize_blocks(docs, path_a, path_b, id_col, text_col, block_chars)
-    return blocks.select(F.inline(_let(F.transform("words", align_word), lambda known: texts(known, F.col("docs")))))
+    return tokenize_blocks(docs, path_a, path_b, id_col, text_col, block_chars).select(F.expr(ALIGN_TEXTS))
 
 
 def link_scores(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
