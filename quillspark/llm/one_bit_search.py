@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize
 
 #: Standard deviations of an estimate that its bounds are wide.
-BOUND = 4.0
+BOUND = 3.5
+#: Bits of a code for each part of a vector: vectors are padded before they are turned, which narrows the bounds.
+BITS = 4
 #: Bits of each part of a query.
 QUERY_BITS = 4
 #: Bytes of vectors on either side of a block at most; queries of a block if there are fewer.
 BLOCK_BYTES, LEAST_QUERIES = 64 << 20, 256
 #: Bytes of vectors whose mean is the centre.
 SAMPLE_BYTES = 4 << 20
-#: Pairs whose estimates stand in memory at once.
-CHUNK_PAIRS = 4 << 20
 
 
 def rotate(x: np.ndarray, seed: int = 13) -> np.ndarray:
-    """Rows turned at random: three rounds of random signs and a Hadamard transform, padded to a power of two (64 at least)."""
-    n = max(64, 1 << (x.shape[1] - 1).bit_length())
+    """Rows turned at random: three rounds of random signs and a Hadamard transform, padded to a power of two of at least BITS times their length."""
+    n = max(64, 1 << (BITS * x.shape[1] - 1).bit_length())
     out = np.zeros((len(x), n))
     out[:, : x.shape[1]] = x
     signs = np.random.default_rng([seed, n]).choice([-1.0, 1.0], (3, n))
@@ -60,26 +60,42 @@ class Queries:
         self.total, self.n = level.sum(1, dtype=np.int64), r.shape[1]
         self.planes = np.stack([np.packbits(level >> j & 1, axis=1, bitorder="little").view("<u8") for j in range(QUERY_BITS)], 1)
 
-    def bounds(self, rows: slice, codes: np.ndarray, norm: np.ndarray, corr: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of the queries in `rows` with all coded vectors, and how far off they may be."""
-        hits = np.zeros((len(self.norm[rows]), len(codes)), np.float32)
+    def bounds(self, i: int, coded: Coded) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of query i with all coded vectors, and the most that they may be."""
+        hits = np.zeros(coded.codes.shape[1], np.uint16 if self.n << QUERY_BITS < 1 << 16 else np.uint32)
         for j in range(QUERY_BITS):
-            for w in range(codes.shape[1]):
-                hits += np.bitwise_count(self.planes[rows, j, w][:, None] & codes[None, :, w]).astype(np.float32) * np.float32(1 << j)
+            ones = np.zeros(len(hits), hits.dtype)
+            for w, word in enumerate(coded.codes):
+                ones += np.bitwise_count(self.planes[i, j, w] & word)
+            hits += ones << hits.dtype.type(j)
+        low, step, norm = self.low[i], self.step[i], self.norm[i]
         with np.errstate(all="ignore"):
-            low, step = self.low[rows][:, None], self.step[rows][:, None]
-            code = (2 * step * hits + 2 * low * ones - step * self.total[rows][:, None] - self.n * low) / np.sqrt(self.n)
-            scale = self.norm[rows][:, None] * (norm / np.where(corr > 0, corr, 1))
-            spread = np.sqrt(np.maximum(0, 1 - corr * corr)[None] / (self.n - 1) + step * step / 12)
-            return self.base[rows][:, None] + scale * code, BOUND * scale * spread
+            est = hits * coded.scale
+            est *= 2 * step * norm
+            est += coded.ones_scale * (2 * low * norm)
+            est += coded.scale * (norm * (-step * self.total[i] - self.n * low)) + self.base[i]
+            return est, est + (coded.spread * norm + coded.scale * (norm * BOUND * step * np.sqrt(self.n / 12)))
+
+
+class Coded:
+    """Codes of a block, word by word, with what estimates take from each vector."""
+
+    def __init__(self, codes: np.ndarray, norm: np.ndarray, corr: np.ndarray, longest: float):
+        n, self.longest = 64 * codes.shape[1], longest
+        with np.errstate(all="ignore"):
+            self.codes, self.scale = np.ascontiguousarray(codes.T), norm / np.where(corr > 0, corr, 1) / np.sqrt(n)
+            self.ones_scale = np.bitwise_count(codes).sum(1) * self.scale
+            # chance, and a little for rounding
+            self.spread = self.scale * np.sqrt(n) * (BOUND * np.sqrt(np.maximum(0, 1 - corr * corr) / (n - 1)) + 1e-9)
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of one query with the rows, summed part after part as a loop would."""
     out = np.zeros(len(x))
     with np.errstate(all="ignore"):
-        for j in range(len(q)):
-            out += x[:, j] * q[j]
+        parts = np.ascontiguousarray(x.T)
+        for part, y in zip(parts, q):
+            out += part * y
     return out
 
 
@@ -89,19 +105,21 @@ def best_in_block(q: np.ndarray, names: np.ndarray, x: np.ndarray, codes: np.nda
     The k best by estimate are scored exactly; the worst of these is a floor for the result. What can't reach it by its upper
     bound is left out, all else is scored.
     """
-    ones, asked = np.bitwise_count(codes).sum(1, dtype=np.int64), Queries(q, centre, seed)
-    at_once = max(1, CHUNK_PAIRS // len(x))
-    for start in range(0, len(q), at_once):
-        est, err = asked.bounds(slice(start, start + at_once), codes, norm, corr, ones)
-        for i in range(len(est)):
-            one, high = q[start + i], est[i] + err[i]
-            rows = np.arange(len(x))
-            if len(x) > k:
-                floor = _exact(one, x[np.argpartition(-est[i], k - 1)[:k]]).min()
-                rows = np.flatnonzero(~(high < floor))
-            score = _exact(one, x[rows])
-            first = np.lexsort((names[rows], -score))[:k]
-            yield start + i, names[rows[first]], score[first]
+    coded, asked = Coded(codes, norm, corr, np.sqrt((x * x).sum(1).max())), Queries(q, centre, seed)
+    for i, one in enumerate(q):
+        rows = np.arange(len(x))
+        if len(x) > k:
+            est, high = asked.bounds(i, coded)
+            # rounding of a sum of products, whatever their order
+            slack = 1e-15 * len(one) * asked.norm[i] * float(coded.longest)
+            floor = (x[np.argpartition(-est, k - 1)[:k]] @ one).min() - slack
+            rows = np.flatnonzero(~(high < floor))
+            if len(rows) > k:
+                near = x[rows] @ one
+                rows = rows[~(near < np.partition(near, -k)[-k] - 2 * slack)]
+        score = _exact(one, x[rows])
+        first = np.lexsort((names[rows], -score))[:k]
+        yield i, names[rows[first]], score[first]
 
 
 def _matrix(blobs, width: int) -> np.ndarray:
