@@ -14,6 +14,9 @@ from quillspark.operators import passages as P
 from quillspark.operators import retrieval as R
 from quillspark.operators import segment as S
 from quillspark.operators import verify as VF
+from quillspark.plans.lineage import fresh_folder
+from quillspark.sources.lexical_index import LexicalIndex
+from quillspark.sources.vector_store import VectorStore
 from quillspark.streaming import logs
 
 QUERIES: dict = {}
@@ -343,6 +346,42 @@ def vector_topk(spark, d):
     return V.top_k_join(read(spark, d, "embeddings"), _vector_queries(spark, d), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+_COSINE = f"{_DOT} / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
+
+
+def _store(spark, d) -> VectorStore:
+    """A vector store of all embeddings, added in three batches."""
+    rows = read(spark, d, "embeddings")
+    store = VectorStore.create(rows, fresh_folder(spark, "vector-store"))
+    for i in range(3):
+        store.append(rows.where(F.coalesce(F.pmod("vec_id", F.lit(3)), F.lit(0)) == i), f"batch-{i}")
+    return store
+
+
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_COSINE}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) <= 10")
+def vector_store_topk(spark, d):
+    store = _store(spark, d)
+    asked = _vector_queries(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return store.search(asked, 10, len(store.centres())).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT q.vec_id AS asked_id, q.label AS parent, e.vec_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0")
+def vector_store_siblings(spark, d):
+    """Parents and siblings from the store; labels stand for parents."""
+    store = _store(spark, d)
+    asked = _vector_queries(spark, d).select(F.col("vec_id").alias("id"))
+    return store.siblings(asked, "label").join(store.parents_of(asked, "label"), "asked_id").select("asked_id", "parent", F.col("id").alias("vec_id"))
+
+
+@query(f"WITH q(query_id, query) AS (VALUES {_VALUES}), {_BM25} SELECT query_id, id AS doc_id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30")
+def bm25_index_topk(spark, d):
+    """bm25_topk from a persisted index to which the documents were added in two batches."""
+    index, rows = LexicalIndex(spark, fresh_folder(spark, "bm25-index")), read(spark, d, "documents")
+    for i in range(2):
+        index.append(rows.where(F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)) == i), f"batch-{i}", "doc_id", "text")
+    return R.top(index.search(_asked(spark)), 30).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(
     f"""WITH q(query_id, query) AS (VALUES {_VALUES}), {_BM25},
 r1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM bm QUALIFY r <= 30),

@@ -32,11 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a table in the shared folder, which goes when the session ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder, which goes when the session ends."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

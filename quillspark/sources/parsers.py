@@ -95,7 +95,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     known = F.when(ext.isin(*SUPPORTED), ext).otherwise(F.raise_error(F.concat(F.lit("Unsupported file type: ."), ext)).cast("string"))
     files = files.withColumn("__ext", known)
-    text = files.where(F.col("__ext").isin("txt", "md")).withColumn("content", F.decode("content", "UTF-8"))
+    # bytes that aren't UTF-8 are replaced, so that one file doesn't stop the others
+    text = files.where(F.col("__ext").isin("txt", "md")).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
     out = sections_txt(text.where("__ext = 'txt'")).unionByName(sections_markdown(text.where("__ext = 'md'")))
     for kind, parse in (("pptx", slides), ("pdf", pages)):
         out = out.unionByName(_binary(files.where(F.col("__ext") == kind), parse))
@@ -104,4 +105,4 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """(name, content) of the files in a folder, by name."""
-    return spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    return spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content").orderBy("name")
