@@ -20,8 +20,9 @@ from quillspark.llm.common import keyed_join, materialize, release
 BLOCK_CHARS, JOINED_BYTES = 4 << 20, 256 << 10
 #: Tokens of a word among which ends are looked for one by one.
 SHORT = 32
-#: A text is parted before spaces that follow anything but white space. Neither tokenizer joins what stands on both sides.
-_PART = re.compile(r"(?<=\S)(?= )")
+#: A text is parted before spaces that follow anything but white space, unless it ends with them. Neither tokenizer joins
+#: what stands on both sides.
+_PART = re.compile(r"(?<=\S)(?= +[^ ])")
 #: White space next to white space, where parting at each space would be wrong.
 _WIDE = re.compile(r"\s\s")
 #: pre-tokens of byte-level vocabularies (fixed value of the file format)

@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.plans.lineage import shared_folder
+
 #: Sides of a join are broadcast only while a count proves them at most this many bytes.
 BROADCAST_LIMIT = 32 << 20
 
-_own_root: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return _own_root[app]
-
-
 def _hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -34,7 +21,7 @@ def _hadoop(spark: SparkSession, path: str):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the session ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     p, fs = _hadoop(spark, path)
     fs.deleteOnExit(p)
     return path
@@ -76,7 +63,8 @@ def write_blobs(blobs: DataFrame, out: str, between: str, batch_rows: int = 2000
     """Write the bytes of the one column to files under `out`, a file for each task, with `between` (ASCII) after each row.
 
     Spark's text writer passes bytes on as they are; it reaches every file system that Spark does, and its commit keeps
-    one file of each task, also if tasks are lost or run twice.
+    one file of each task, also if tasks are lost or run twice. This rests on an engine that doesn't validate the bytes of
+    strings; readers find their lengths in each part and fail where they don't fit.
     """
     with settings(blobs.sparkSession, dict.fromkeys(SMALL_BATCHES, str(batch_rows))):
         blobs.select(F.col(blobs.columns[0]).cast("string")).write.option("lineSep", between).option("compression", "none").text(out)

@@ -61,7 +61,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
     A stream keeps one state row for each digest (see advance_state); with a `checkpoint` of an earlier call only new
     files go through it. Rows whose digest was hit more than once are compared with the bytes found at the keeper's
-    locator. Rows that differ there (a digest collision) are grouped by their whole texts instead.
+    locator. Rows that differ there (a digest collision), and such of a digest whose keeper or rows have gone with a
+    file since the state saw them, are grouped by their whole texts instead.
 
     Null text equals empty text. A null id is less than any other; rows of equal id and text are all `kept` when theirs
     is the largest id. An empty table gives an empty one. Extra columns are ignored.
@@ -81,7 +82,10 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     kept_text = found.where("here").select("digest", F.col("norm").alias("keep_norm"))
     # written before it is made distinct, so that the join may deal a hot digest to many tasks
     differ, _ = materialize(found.select("digest", "norm").join(kept_text.hint("merge"), "digest").where("norm <> keep_norm").select("digest"), "dedup-differ")
-    clash, _ = materialize(differ.distinct(), "dedup-clash")
+    # where files that the state knows are gone, the keeper or the number of rows no longer holds
+    there = found.groupBy("digest").agg(F.count("*").alias("rows"), F.max("here").alias("here"))
+    stale = there.join(hits.select("digest", "n"), "digest").where("rows <> n or not here").select("digest")
+    clash, _ = materialize(differ.union(stale).distinct(), "dedup-clash")
     plain = keyed_join(rows.select("id", "digest", "sha"), hits.select("digest", "keep_id", "n"), ["digest"], "left", 120)
     out = plain.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"), "digest")
     if clash.take(1):

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import chunks_of
 
-#: Labelled rows of a language that training uses at most, and the characters of each.
-ROWS_PER_LANGUAGE, SAMPLE_CHARS = 500, 20_000
+#: Labelled rows of a language that training uses at most; their whole texts.
+ROWS_PER_LANGUAGE = 500
 #: Languages beyond this many are an error: the model keeps a column for each.
 MAX_LANGUAGES = 1_000
 HASH_BITS, DIM, EPOCHS, RATE = 17, 16, 6, 0.5
@@ -118,7 +118,7 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 3) -> Model:
 def sample(docs: DataFrame, eligible: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
     """A bounded sample for each language, dealt by a hash of the row, so that it is the same whatever the layout."""
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    rows = rows.select(F.left(F.col(text_col), F.lit(SAMPLE_CHARS)).alias("text"), F.col(lang_col).alias("lang"), F.abs(F.xxhash64(id_col, text_col) % (1 << 40)).alias("h"))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.abs(F.xxhash64(id_col, text_col) % (1 << 40)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

@@ -275,13 +275,13 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, cap: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, cap: int = 2048, end_id: int = 0, work: int = SEARCH_WORK) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     A document is its token ids and `end_id`; only a longer one is cut, at multiples of `cap`. Sequences hold at most
     `cap` tokens without gaps. The driver holds the histogram of lengths (at most cap numbers) and packs that; pieces
     find their places by their rank among pieces of equal length, counted in hash-dealt buckets, so a length with any
-    share of the rows spreads over all tasks.
+    share of the rows spreads over all tasks. `work` bounds the search, see pack_runs.
 
     Null text counts as empty: one piece with the end id. Repeated rows and equal ids are packed each by itself. A null
     id is kept. An empty table gives an empty one. Extra columns are ignored.
@@ -297,7 +297,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     used: dict[int, int] = {}
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     seq = 0
-    for times, fill in pack_runs(counts, cap):
+    for times, fill in pack_runs(counts, cap, work):
         at = 0
         for s, k in fill:
             first = used.get(s, 0)

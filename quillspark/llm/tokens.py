@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -20,6 +21,9 @@ BLOCK_CHARS = 4 << 20
 
 # Letters of these blocks keep to themselves: lower case and composition go by single letters.
 _FOREIGN = re.compile("[^\x00-įı-ɏ]")
+# Fixed values of the file format that words can be encoded by themselves in.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # pre-tokens of printable ASCII in lower case, as the file's own pattern parts them
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -30,13 +34,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _by_words(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and splits as the encoding by words takes for granted."""
+    norm, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
+    steps, parts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    blank = any(x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+    split = len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["pattern"] == {"Regex": _SPLIT} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    letters = split and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    return bool([x["type"] for x in steps] == _NORMALIZERS and blank and letters and model["type"] == "BPE" and not model.get("dropout"))
+
+
 class Encoder:
     """ids of texts by the tokenizer file at `path`, add_special_tokens=False, as arrays of 16 or 32 bits.
 
     The file's pre-tokenizer never joins what white space parts, so a text's ids are those of its words in order. The
     words of a block of texts are made distinct first; those seen before come from a memo, the rest are encoded once.
     Texts where lower-casing or composing could look beyond a word, or that hold the strings of special tokens, are
-    encoded whole.
+    encoded whole, and so are all texts if the file normalises or splits in any other way.
     """
 
     def __init__(self, path: str, words: int | None = None):
@@ -44,13 +58,14 @@ class Encoder:
 
         self.most = words or MEMO_WORDS
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _by_words(json.load(f))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # the alphabet of the byte-level model: letters beyond ASCII stand there as several signs
-        step = self.tok.pre_tokenizer.pre_tokenize_str
-        self.letters = {i: "".join(x for x, _ in step(chr(i))) for i in range(0x80, 0x250) if chr(i).isalpha()}
+        self.letters = {i: "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(chr(i))) for i in range(0x80, 0x250) if chr(i).isalpha()} if self.by_words else {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,7 +131,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not t.isascii() and _FOREIGN.search(t) or any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
+            if not self.by_words or not t.isascii() and _FOREIGN.search(t) or any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
                 whole.append(i)
             else:
                 apart.append(i)
