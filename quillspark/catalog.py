@@ -346,6 +346,25 @@ def vector_topk(spark, d):
     return V.top_k_join(read(spark, d, "embeddings"), _vector_queries(spark, d), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+_TRIGRAMS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr('^' || {0} || '$', i, 3)))"
+
+
+@query(
+    f"""WITH q(query_id, query) AS (VALUES {_VALUES}), {_BM25},
+best AS (SELECT query_id, id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+qt AS (SELECT DISTINCT query_id, token AS asked, {_TRIGRAMS.format("token")} AS ga FROM asked),
+dt AS (SELECT id, h AS held, {_TRIGRAMS.format("h")} AS gh FROM (SELECT DISTINCT doc_id AS id, unnest({_tokens("text")}) AS h FROM documents WHERE doc_id IN (SELECT id FROM best))),
+sim AS (SELECT b.query_id, b.id, asked, max(len(list_intersect(ga, gh)) / sqrt(len(ga) * len(gh)::DOUBLE)) AS s FROM best b JOIN qt USING (query_id) JOIN dt USING (id) GROUP BY ALL),
+total AS (SELECT b.query_id, b.id, coalesce(sum(s), 0.0) AS s FROM best b LEFT JOIN sim USING (query_id, id) GROUP BY ALL)
+SELECT query_id AS question_id, id AS doc_id, round(s, 6) AS maxsim, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM total"""
+)
+def late_interaction(spark, d):
+    docs, asked = read(spark, d, "documents"), _asked(spark)
+    first = R.top(R.bm25(docs, asked, "doc_id", F.col("text")), 30).withColumnRenamed("query_id", "question_id")
+    out = R.late_interaction(first, asked.withColumnRenamed("query_id", "question_id"), docs, "doc_id", F.col("text"))
+    return out.select("question_id", F.col("id").alias("doc_id"), F.round("maxsim", 6).alias("maxsim"), F.col("rank").cast("long").alias("rank"))
+
+
 _COSINE = f"{_DOT} / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
 
 
@@ -946,6 +965,15 @@ def running_edges(spark, d):
     return logs.edge_weights(read(spark, d, "events").select(F.col("user_id").alias("e1"), (F.col("event_id") % 40).alias("e2")))
 
 
+@query("SELECT least(user_id, event_id % 40) AS u, greatest(user_id, event_id % 40) AS v, count(*) AS w FROM events GROUP BY ALL")
+def streamed_edges(spark, d):
+    """running_edges from a stream with state; events that come again count once."""
+    path, out = f"{d}/events.parquet", fresh_folder(spark, "edges")
+    pairs = lambda rows: rows.select(F.col("user_id").alias("e1"), (F.col("event_id") % 40).alias("e2"))
+    logs.grow_edges(logs.stream_files(spark, path, spark.read.parquet(path).schema), f"{out}/weights", f"{out}/state", pairs, "event_id")
+    return logs.read_edges(spark, f"{out}/weights")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30 AND l_orderkey IS NOT NULL)")
 def unprocessed_orders(spark, d):
     done = read(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ranges import running
 
 
 def dedupe_parents(ranked: DataFrame, k: int, question: str = "question_id", parent: str = "parent_id", rank: str = "rank") -> DataFrame:
@@ -67,10 +68,17 @@ def evidence_sentences(text: Column, most: int = 900) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.left(text, F.lit(most))))
 
 
-def within_budget(blocks: DataFrame, most: int, order: str, length: Column, by: str = "question_id", keep_first: bool = True) -> DataFrame:
-    """Rows up to the first whose running length exceeds `most`; the first row stays in any case if asked."""
-    w = Window.partitionBy(by).orderBy(order)
-    run = blocks.withColumn("__sum", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
+def within_budget(blocks: DataFrame, most: int, order: str, length: Column, by: str = "question_id", keep_first: bool = True, few: bool = False) -> DataFrame:
+    """Rows up to the first whose running length exceeds `most`; the first row stays in any case if asked.
+
+    Groups of any size are summed up by ranges. `few` says that each has but a few rows, which saves counting them.
+    """
+    sums = {"__sum": length, "__n": F.lit(1)}
+    if few:
+        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        run = blocks.withColumns({k: F.sum(c).over(w) for k, c in sums.items()})
+    else:
+        run = running(blocks, [by], [F.col(order)], sums)
     fits = F.col("__sum") <= most
     return run.where(fits | (F.col("__n") == 1) if keep_first else fits).drop("__sum", "__n")
 

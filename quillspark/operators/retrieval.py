@@ -106,3 +106,31 @@ def fuse_ranks(rankings: list[DataFrame], k: int = 60, by: str = "query_id") ->
     for r in rankings[1:]:
         rows = rows.unionByName(r.select(by, "id", "rank"))
     return rows.groupBy(by, "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
+
+
+def _grams(token: Column) -> Column:
+    """Distinct runs of three characters of a token between two marks."""
+    padded = F.concat(F.lit("^"), token, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def late_interaction(ranked: DataFrame, questions: DataFrame, texts: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(question_id, id, maxsim, rank): a second ranking of the best rows (question_id, id) of a first one.
+
+    Each token of the question (question_id, query) takes the token of the text that is most like it, by the cosine of their
+    character trigrams; a row's score is the sum over the question's distinct tokens, so that other forms of a word count
+    where BM25 wants the same one. Tokens meet by a trigram that they share. Rows without any such token score 0. Ties go to
+    the smaller id. The work follows the rows of the first ranking, whose number for a question is its k.
+    """
+    asked = questions.select("question_id", F.explode(F.array_distinct(T.content_tokens(F.col("query")))).alias("asked"))
+    best = ranked.select("question_id", "id")
+    told = texts.select(F.col(id_col).alias("id"), text.alias("text")).join(best.select("id").distinct(), "id", "left_semi")
+    held = told.select("id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("held"))
+    split = lambda df, c, n: df.withColumn("grams", _grams(F.col(c))).withColumn(n, F.size("grams")).withColumn("gram", F.explode("grams")).drop("grams")
+    rows = best.join(split(held, "held", "nh"), "id")
+    met = rows.join(split(asked, "asked", "na"), ["question_id", "gram"]).groupBy("question_id", "id", "asked", "held", "na", "nh").agg(F.count("*").alias("both"))
+    like = met.groupBy("question_id", "id", "asked").agg(F.max(F.col("both") / F.sqrt(F.col("na") * F.col("nh").cast("double"))).alias("like"))
+    sums = like.groupBy("question_id", "id").agg(F.sum("like").alias("maxsim"))
+    scored = best.join(sums, ["question_id", "id"], "left").select("question_id", "id", F.coalesce("maxsim", F.lit(0.0)).alias("maxsim"))
+    w = Window.partitionBy("question_id").orderBy(F.round("maxsim", 9).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w))

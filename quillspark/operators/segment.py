@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ranges import running
 
 
 def sections_txt(files: DataFrame, name_col: str = "name", content_col: str = "content", separator: str = r"\n{2,}") -> DataFrame:
@@ -84,9 +85,9 @@ def semantic_chunks(sections: DataFrame, keys: list[str], content_col: str = "co
 
 
 def number_chunks(chunks: DataFrame, session_col: str, order: list[str]) -> DataFrame:
-    """Chunk ids that run on through a session: {session}_chunk_0000 and so on."""
-    seq = F.row_number().over(Window.partitionBy(session_col).orderBy(*order)) - 1
-    return chunks.withColumn("chunk_seq", seq).withColumn("id", F.concat(F.col(session_col), F.lit("_chunk_"), F.format_string("%04d", "chunk_seq")))
+    """Chunk ids that run on through a session: {session}_chunk_0000 and so on; a session of any size is numbered by ranges."""
+    numbered = running(chunks, [session_col], [F.col(c) for c in order], {"chunk_seq": F.lit(1)}).withColumn("chunk_seq", F.col("chunk_seq") - 1)
+    return numbered.withColumn("id", F.concat(F.col(session_col), F.lit("_chunk_"), F.format_string("%04d", "chunk_seq")))
 
 
 def parents(chunks: DataFrame, key: str = "parent_id", seq: str = "chunk_seq", text: str = "text", separator: str = "\n", most: int | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def ask(chunks: DataFrame, questions: DataFrame, relevant: Column | None = None,
     told = chosen.join(whole, "parent_id").withColumn("pid", place)
     told = told.withColumn("window", P.best_window(P.evidence_sentences(F.col("parent_text"), WINDOW_CHARS), WINDOW_CHARS))
     told = told.withColumn("block", P.context_block(F.col("source_file"), F.col("page_or_slide"), F.col("heading"), F.col("window.text")))
-    fits = P.within_budget(told, PROMPT_CHARS, "pid", F.length("block"))
+    fits = P.within_budget(told, PROMPT_CHARS, "pid", F.length("block"), few=True)
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pid", c))), lambda x: x[c])
     found = fits.withColumn("window_text", F.col("window.text")).groupBy("question_id").agg(F.array_join(in_order("block"), "\n\n").alias("context"), F.array_join(F.slice(in_order("window_text"), 1, 2), " ").alias("extract"), in_order("id").alias("passages"))
     out = known.select("question_id", "question", "intent").join(found, "question_id", "left")

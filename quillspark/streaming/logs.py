@@ -30,6 +30,34 @@ def edge_weights(edges: DataFrame, a: str = "e1", b: str = "e2") -> DataFrame:
     return edges.groupBy(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).agg(F.count("*").alias("w"))
 
 
+def stream_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the parquet file or folder at `path`; a stream takes a pattern for either."""
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def grow_edges(rows: DataFrame, out: str, checkpoint: str, pairs: Callable[[DataFrame], DataFrame], key: str | None = None, time: str | None = None, late: str = "1 day") -> None:
+    """Bring the edge weights in `out` up to date with what the stream `rows` has now; call it again for what comes later.
+
+    pairs(rows) gives (e1, e2). Running weights are state in `checkpoint`, so a restart goes on from them. Each batch puts
+    the edges that it touched into a folder of its number, which a batch that is run again replaces. With `key` a row that
+    is delivered again counts once: for ever, or, with `time`, within `late` of its time, and rows later than that are left
+    out. Edges with a null end count under null, as in edge_weights.
+    """
+    if key:
+        rows = first_seen(rows, key, time, late) if time else rows.dropDuplicates([key])
+
+    def put(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    edge_weights(pairs(rows)).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_edges(spark: SparkSession, out: str) -> DataFrame:
+    """(u, v, w) as of the last batch; weights only grow, so the largest is the last."""
+    return spark.read.parquet(out).groupBy("u", "v").agg(F.max("w").alias("w"))
+
+
 def windowed_counts(events: DataFrame, time: str, width: str, slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
     """(window_start, by, n): counts by tumbling or sliding windows; works on streams and tables."""
     timed = events.withWatermark(time, late) if events.isStreaming else events
