@@ -960,6 +960,29 @@ def node_degrees(spark, d):
     return G.degrees(_mesh(spark, d)).select("node", "degree", F.round("strength", 4).alias("strength"))
 
 
+@query(
+    """WITH h AS (SELECT DISTINCT l_suppkey AS c, l_orderkey AS k FROM lineitem), n AS (SELECT c, count(*) AS n FROM h GROUP BY c),
+co AS (SELECT a.c AS u, b.c AS v, count(*) AS m FROM h a JOIN h b ON a.k = b.k AND a.c < b.c GROUP BY ALL),
+cc AS (SELECT u, v, m / sqrt(a.n::DOUBLE * b.n) AS cooccur FROM co JOIN n a ON a.c = u JOIN n b ON b.c = v),
+r0 AS (SELECT least(a.l_suppkey, b.l_suppkey) AS u, greatest(a.l_suppkey, b.l_suppkey) AS v, count(*) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey GROUP BY ALL),
+r AS (SELECT u, v, w / (SELECT max(w) FROM r0)::DOUBLE AS relation FROM r0),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IN (SELECT s_suppkey FROM supplier)),
+s AS (SELECT a.vec_id AS u, b.vec_id AS v, list_cosine_similarity(a.e, b.e) AS semantic FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.1)
+SELECT u, v, round(relation, 6) AS relation, round(cooccur, 6) AS cooccur, round(semantic, 6) AS semantic,
+  round(0.5 * coalesce(relation, 0) + 0.3 * coalesce(cooccur, 0) + 0.2 * coalesce(semantic, 0), 6) AS w
+FROM r FULL JOIN cc USING (u, v) FULL JOIN s USING (u, v)"""
+)
+def measured_signals(spark, d):
+    """Suppliers as concepts: what follows in an order is a relation, orders are chunks, embeddings are the concepts' vectors."""
+    lines = read(spark, d, "lineitem")
+    nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("target"))
+    follows = lines.join(nxt, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_suppkey").alias("source"), "target").agg(F.count("*").alias("weight"))
+    known = read(spark, d, "supplier").select(F.col("s_suppkey").alias("vec_id"))
+    near = V.cosine_pairs(read(spark, d, "embeddings").join(known, "vec_id", "left_semi"), 0.1)
+    out = C.measured_affinity(follows, lines.select(F.col("l_suppkey").alias("concept"), F.col("l_orderkey").alias("chunk")), near)
+    return out.select("u", "v", *(F.round(c, 6).alias(c) for c in ("relation", "cooccur", "semantic", "w")))
+
+
 @query("SELECT least(user_id, event_id % 40) AS u, greatest(user_id, event_id % 40) AS v, count(*) AS w FROM events GROUP BY ALL")
 def running_edges(spark, d):
     return logs.edge_weights(read(spark, d, "events").select(F.col("user_id").alias("e1"), (F.col("event_id") % 40).alias("e2")))

@@ -172,6 +172,45 @@ def affinity(relation: Column, cooccur: Column, semantic: Column) -> Column:
     return 0.5 * F.coalesce(relation, F.lit(0.0)) + 0.3 * F.coalesce(cooccur, F.lit(0.0)) + 0.2 * F.coalesce(semantic, F.lit(0.0))
 
 
+def incidence_cosine(incidence: DataFrame, least: float = 0.0, block: int = 256) -> DataFrame:
+    """(u, v, cosine) of concepts that share a chunk, u < v: |P and Q| / sqrt(|P||Q|) of their sets of chunks.
+
+    incidence: (concept, chunk), repeats and nulls don't count. The concepts of a chunk are dealt to blocks of about `block`
+    rows, and each pair of blocks meets under a key of its own, so a chunk of very many concepts is no task's work. Pairs
+    whose numbers of chunks are too unequal for `least` aren't formed.
+    """
+    held = incidence.select("concept", "chunk").where("concept is not null and chunk is not null").distinct()
+    support = held.groupBy("concept").agg(F.count("*").alias("n"))
+    size = held.groupBy("chunk").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = held.join(support, "concept").join(size, "chunk").withColumn("own", F.expr("pmod(xxhash64(concept), blocks)").cast("int"))
+    upper = rows.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    lower = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    left = upper.select("chunk", F.col("own").alias("p"), F.col("other").alias("q"), F.col("concept").alias("a"), F.col("n").alias("na"))
+    right = lower.select("chunk", F.col("other").alias("p"), F.col("own").alias("q"), F.col("concept").alias("b"), F.col("n").alias("nb"))
+    # of two rows of one block the pair is formed once, of rows of two blocks whichever is less
+    met = left.join(right, ["chunk", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= least * least * F.greatest("na", "nb")))
+    pairs = met.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("both"), F.max(F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("root"))
+    return pairs.select("u", "v", (F.col("both") / F.col("root")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+def measured_affinity(relations: DataFrame, incidence: DataFrame, semantic: DataFrame, least: float = 0.0) -> DataFrame:
+    """(u, v, relation, cooccur, semantic, w): the three signals of every pair that has any, and their affinity.
+
+    relations (source, target, weight): both directions of a pair are summed and taken as a share of the largest sum.
+    incidence (concept, chunk): cosine of chunk sets. semantic (a, b, cosine): cosines of concept vectors.
+    """
+    both = relations.where(F.col("source") != F.col("target")).groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.sum("weight").alias("weight"))
+    shared = both.crossJoin(F.broadcast(both.agg(F.max("weight").alias("most")))).select("u", "v", (F.col("weight") / F.col("most")).alias("relation"))  # one row
+    none = F.lit(None).cast("double")
+    parts = (
+        shared.select("u", "v", F.col("relation").cast("double").alias("relation"), none.alias("cooccur"), none.alias("semantic")),
+        incidence_cosine(incidence, least).select("u", "v", none, "cosine", none),
+        semantic.select("a", "b", none, none, "cosine"),
+    )
+    one = parts[0].union(parts[1]).union(parts[2]).groupBy("u", "v").agg(*(F.max(c).alias(c) for c in ("relation", "cooccur", "semantic")))
+    return one.withColumn("w", affinity(F.col("relation"), F.col("cooccur"), F.col("semantic")))
+
+
 def sparsify(edges: DataFrame, k: int = 5, least: float = 0.15) -> DataFrame:
     """Edges (u, v, w) of `least` weight that are among the k heaviest of either end."""
     way = graph.both_ways(edges.where(F.col("w") >= least))

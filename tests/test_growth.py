@@ -74,3 +74,18 @@ def test_second_ranking_sees_other_forms(spark):
     ranked = spark.createDataFrame([(7, i) for i in (1, 2, 3, 4)], "question_id long, id long")
     got = [(r["id"], round(r["maxsim"], 6)) for r in R.late_interaction(ranked, asked, texts, "id", F.col("text")).orderBy("rank").collect()]
     assert [i for i, _ in got] == [1, 2, 3, 4] and got[1][1] == 1.0 and got[3] == (4, 0.0)
+
+
+def test_cosines_of_chunk_sets(spark):
+    """A chunk that holds all concepts is dealt to many keys; nulls and repeats don't count."""
+    from quillspark.operators.concepts import incidence_cosine
+
+    rng = random.Random(9)
+    held = {(f"c{i}", rng.randrange(12)) for i in range(40) for _ in range(rng.randrange(1, 6))} | {(f"c{i}", 99) for i in range(40)}
+    df = spark.createDataFrame([*held, *list(held)[:9], (None, 1), ("c1", None)], "concept string, chunk long").repartition(3)
+    sets = {c: {k for x, k in held if x == c} for c, _ in held}
+    want = {(a, b): len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 for a in sets for b in sets if a < b}
+    for least in (0.0, 0.6):
+        for block in (256, 5):
+            got = {(r["u"], r["v"]): r["cosine"] for r in incidence_cosine(df, least, block).collect()}
+            assert set(got) == {p for p, c in want.items() if c >= least} and all(abs(got[p] - want[p]) < 1e-12 for p in got)
