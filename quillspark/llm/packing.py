@@ -30,12 +30,13 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
 
     For each threshold: pieces above half a sequence never share one, and pieces between the threshold and a half need
     what those leave free or sequences of their own; pieces too large for company of the threshold's length count whole.
+    And no sequence holds more than cap // s pieces of length s or more.
     """
     sizes = np.array(sorted(counts), np.int64)
     many = np.array([counts[s] for s in sizes.tolist()], np.int64)
     n, mass = np.concatenate([[0], np.cumsum(many)]), np.concatenate([[0], np.cumsum(many * sizes)])
     half = int(np.searchsorted(sizes, cap // 2, "right"))
-    best = 0
+    best = max((-(-int(n[-1] - n[i]) // (cap // s)) for i, s in enumerate(sizes.tolist()) if 0 < s <= cap), default=0)
     for least in [0, *sizes[:half].tolist()]:
         a, b = np.searchsorted(sizes, [least, cap - least + 1])
         b = max(int(b), half)
