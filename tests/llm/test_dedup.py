@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from quillspark.llm import exact_dedup, jaccard_join, line_dedup, vector_dedup
-from quillspark.llm.components import components
+from quillspark.llm.components import components, contract
 
 UP = {i: i + 32 for i in range(65, 91)}
 
@@ -231,3 +231,34 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(500, 600 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100 and all(got[600 + i] == 500 for i in range(50))
+
+
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_components_of_random_graphs(spark, monkeypatch, most):
+    """Stars and contraction agree with a search from node to node, in one task and where edges are dealt to many chunks."""
+    monkeypatch.setattr("quillspark.llm.components.TASK_EDGES", most)
+    rng = np.random.default_rng(most)
+    links = [tuple(int(x) for x in p) for p in rng.integers(-300, 300, (260, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(None, 5), (6, None)]
+    near = defaultdict(set)
+    for x, y in links:
+        if x is not None and y is not None and x != y:
+            near[x].add(y)
+            near[y].add(x)
+    want = {}
+    for x in sorted(near):
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_contract():
+    """A path whose middle is its greatest node, and two paths apart, become stars around their least nodes."""
+    u, v = (np.array(x) for x in ([9, 9, 5, 30], [1, 5, 2, 31]))
+    x, y = contract(u, v)
+    assert dict(zip(x.tolist(), y.tolist())) == {9: 1, 5: 1, 2: 1, 31: 30}
