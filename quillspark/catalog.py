@@ -506,16 +506,23 @@ def answerability_gate(spark, d):
 
 # --- concepts and graphs --------------------------------------------------------------------------------------------------
 
+#: Letters beyond ASCII become `_` for the SQL's boundaries, which know ASCII alone: part of a word, in no class of letters.
+_ENTITIES = """list_distinct(list_concat(regexp_extract_all(a, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1), regexp_extract_all(a, '\\b([A-Z]{2,}[a-z]*(?:\\s*[A-Z]{2,}[a-z]*)*)\\b', 1),
+  list_transform(list_filter(regexp_extract_all(whole, '[\\p{L}\\p{M}\\p{Nd}_]+'), lambda x: length(x) >= 5 AND regexp_matches(x, '(?i)[\\p{L}\\p{M}\\p{Nd}_](ing|tion|ment|ity|ness|ance|ence|ism|ist|ics|ology|graphy)$')), lambda x: lower(x))))"""
+
+
+def _unaccented(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\x00-\\x7F]', '.', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
+
 @query(
-    """SELECT page_id, len(list_distinct(regexp_extract_all(url, '[a-z]{4,}'))) AS n_words, md5(array_to_string(list_sort(list_distinct(list_concat(
-  regexp_extract_all(a, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1), regexp_extract_all(a, '\\b([A-Z]{2,}[a-z]*(?:\\s*[A-Z]{2,}[a-z]*)*)\\b', 1),
-  list_transform(list_filter(regexp_extract_all(a, '(?i)\\b(\\w+(?:ing|tion|ment|ity|ness|ance|ence|ism|ist|ics|ology|graphy))\\b', 1), lambda x: length(x) >= 5), lambda x: lower(x))))), '|')) AS entities_md5
-FROM (SELECT page_id, url, regexp_replace(html, '[^ -~\\n]', ' ', 'g') AS a FROM pages)"""
+    f"""SELECT page_id, len(list_distinct(regexp_extract_all(url, '[a-z]{{4,}}'))) AS n_words, md5(array_to_string(list_sort({_ENTITIES}), '|')) AS entities_md5
+FROM (SELECT page_id, url, html AS whole, {_unaccented('html')} AS a FROM pages)"""
 )
 def entities(spark, d):
-    rows = read(spark, d, "pages").select("page_id", "url", F.regexp_replace("html", "[^ -~\\n]", " ").alias("a"))
     words = F.array_distinct(F.regexp_extract_all("url", F.lit("[a-z]{4,}"), F.lit(0)))
-    return rows.select("page_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort(S.entities(F.col("a"))), "|")).alias("entities_md5"))
+    found = F.array_sort(S.entities(F.col("html")))
+    return read(spark, d, "pages").select("page_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(found, "|")).alias("entities_md5"))
 
 
 _ACRONYM = "'\\b([A-Z][A-Za-z0-9\\s\\-]{2,40}?)\\s*\\(([A-Z0-9]{2,8})\\)'"
@@ -532,14 +539,10 @@ def acronym_aliases(spark, d):
 
 
 def _tagged(spark, d) -> DataFrame:
-    """Entities of whole documents; accented letters part words, as they do in the SQL's patterns."""
-    plain = F.regexp_replace("text", "[^ -~\\n]", " ")
-    return read(spark, d, "documents").select("doc_id", "source", F.explode(S.entities(plain)).alias("entity"))
+    return read(spark, d, "documents").select("doc_id", "source", F.explode(S.entities(F.col("text"))).alias("entity"))
 
 
-_ENTITIES = """list_distinct(list_concat(regexp_extract_all(a, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1), regexp_extract_all(a, '\\b([A-Z]{2,}[a-z]*(?:\\s*[A-Z]{2,}[a-z]*)*)\\b', 1),
-  list_transform(list_filter(regexp_extract_all(a, '(?i)\\b(\\w+(?:ing|tion|ment|ity|ness|ance|ence|ism|ist|ics|ology|graphy))\\b', 1), lambda x: length(x) >= 5), lambda x: lower(x))))"""
-_TAGGED = f"t AS (SELECT doc_id, source, unnest({_ENTITIES}) AS entity FROM (SELECT doc_id, source, regexp_replace(text, '[^ -~\\n]', ' ', 'g') AS a FROM documents))"
+_TAGGED = f"t AS (SELECT doc_id, source, unnest({_ENTITIES}) AS entity FROM (SELECT doc_id, source, text AS whole, {_unaccented('text')} AS a FROM documents))"
 
 
 @query(f"WITH {_TAGGED} SELECT a.entity AS e1, b.entity AS e2, count(*) AS weight FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL")
@@ -598,7 +601,7 @@ SELECT round(sum(coalesce(i, 0) / m - (k / (2 * m)) ** 2), 6) AS modularity FROM
 )
 def modularity(spark, d):
     e = _edges(spark, d)
-    member = G.both_ways(e).select(F.col("x").alias("node")).distinct().withColumn("community", F.left("node", F.lit(1)))
+    member = G.both_ways(e).select(F.col("x").alias("node")).distinct().withColumn("community", F.ascii(F.left("node", F.lit(1))))
     return G.modularity(e, member).select(F.round("modularity", 6).alias("modularity"))
 
 
@@ -692,7 +695,8 @@ def bridge_concepts(spark, d):
     e = _edges(spark, d)
     member = G.both_ways(e).select(F.col("x").alias("node")).distinct().withColumn("community", F.ascii(F.left("node", F.lit(1))))
     out = C.soft_membership(e, member)
-    return out.select("node", F.char("community").alias("community"), "own", "other_weight", "bridge")
+    letter = F.decode(F.unhex(F.lpad(F.hex("community"), 8, "0")), "UTF-32")
+    return out.select("node", letter.alias("community"), "own", "other_weight", "bridge")
 
 
 @query(

@@ -111,10 +111,14 @@ def drop_repeats(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 
 def entities(c: Column) -> Column:
-    """Capitalised phrases, acronym runs and words with typical endings (lower case), each once."""
-    phrases = F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), F.lit(1))
-    codes = F.regexp_extract_all(c, F.lit(r"\b([A-Z]{2,}[a-z]*(?:\s*[A-Z]{2,}[a-z]*)*)\b"), F.lit(1))
-    ends = F.regexp_extract_all(c, F.lit(r"(?i)\b(\w+(?:ing|tion|ment|ity|ness|ance|ence|ism|ist|ics|ology|graphy))\b"), F.lit(1))
+    """Capitalised phrases, acronym runs and words with typical endings (lower case), each once.
+
+    Letters of all scripts make up words, so an accented one ends no phrase and tears no word; phrases and runs are of
+    plain letters.
+    """
+    phrases = F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), F.lit(1))
+    codes = F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Z]{2,}[a-z]*(?:\s*[A-Z]{2,}[a-z]*)*)\b"), F.lit(1))
+    ends = F.regexp_extract_all(c, F.lit(r"(?iU)\b(\w+(?:ing|tion|ment|ity|ness|ance|ence|ism|ist|ics|ology|graphy))\b"), F.lit(1))
     return F.array_distinct(F.concat(F.transform(phrases, T.strip), F.transform(codes, T.strip), F.transform(F.filter(ends, lambda x: F.length(x) >= 5), F.lower)))
 
 

@@ -267,3 +267,10 @@ def test_concept_map(spark):
     assert m["n_clusters"] == 3 and m["n_concepts"] == 12 and concept_map.is_sufficient(cs, rels)
     kinds = {r["kind"] for r in concept_map.build_map(members, links).collect()}
     assert {"cluster", "member", "view"} <= kinds
+
+
+def test_entities_keep_accented_words(spark):
+    """Accented letters belong to words: nothing is torn, and no phrase begins or ends within a word."""
+    text = "La función es Präsentation und Élément. Das Haus Überall Big Data. Größe Neue Welt; NASAé ESA identité moción"
+    got = spark.createDataFrame([(text,)], "t string").select(S.entities(F.col("t")).alias("e")).first().e
+    assert set(got) == {"Big Data", "Neue Welt", "Das Haus", "ESA", "präsentation", "élément"}
