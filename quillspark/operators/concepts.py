@@ -54,15 +54,42 @@ def node_stats(tagged: DataFrame, entity: str = "entity", source: str = "source_
     return tagged.groupBy(entity).agg(F.count("*").alias("frequency"), F.array_sort(F.collect_set(source)).alias("source_files"))
 
 
-def fuzzy_pairs(keys: DataFrame, key: str = "key", least: float = FUZZY) -> DataFrame:
-    """(a, b, ratio) of keys with equal first letter and like length whose sequences match; no word set holds the other."""
-    k = keys.select(key).distinct()
-    left, right = k.select(F.col(key).alias("a")), k.select(F.col(key).alias("b"))
-    wa, wb = F.split("a", " "), F.split("b", " ")
-    near = left.join(right, (F.left("a", F.lit(1)) == F.left("b", F.lit(1))) & (F.abs(F.length("a") - F.length("b")) <= 3) & (F.col("a") < F.col("b")))
+def _pieces(keys: DataFrame, least: float, probe: bool) -> DataFrame:
+    """(sig, key): pieces of keys that a key with few enough edits, up to three letters longer, must have one of in place.
+
+    d edits leave one of d + 1 pieces whole, moved by no more letters than the edits left and right of it allow. The
+    shorter key is cut (probe false) for each length of the longer, which gives all it has at such places.
+    """
+    rows = keys.select("key", F.length("key").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("more"))
+    rows = rows.withColumn("n", F.col("m") - F.col("more") if probe else F.col("m")).where("n > 0")
+    rows = rows.withColumn("d", F.floor((1 - least) * (2 * F.col("n") + F.col("more")) + 1e-9).cast("int")).where("d >= more and d > 0")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    rows = rows.withColumn("at", F.expr("cast(i * n div (d + 1) as int)")).withColumn("size", F.expr("cast((i + 1) * n div (d + 1) as int)") - F.col("at"))
+    if probe:
+        low, high = F.greatest(F.lit(0), F.expr("at - cast((d - more) div 2 as int)")), F.least(F.expr("m - size"), F.expr("at + cast((d + more) div 2 as int)"))
+        rows = rows.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    return rows.select(F.xxhash64(F.left("key", F.lit(1)), "n", "more", "i", F.expr("substring(key, at + 1, size)")).alias("sig"), "key").distinct()
+
+
+def fuzzy_candidates(keys: DataFrame, key: str = "key", least: float = FUZZY) -> DataFrame:
+    """(a, b), a < b, of keys with equal first letter and lengths up to three apart, so few edits apart that a ratio of
+    `least` is possible; neither's words are all the other's. Null and empty keys are in no pair.
+
+    Keys meet by pieces (see _pieces), not by their first letters alone, and edits are counted where they meet.
+    """
+    k = keys.select(F.col(key).alias("key")).distinct()
+    left, right = _pieces(k, least, False).withColumnRenamed("key", "x"), _pieces(k, least, True).withColumnRenamed("key", "y")
     # a ratio r leaves (1 - r) * (length of both) edits at most, which the JVM can tell before Python looks
-    near = near.where(F.levenshtein("a", "b") <= F.floor((1 - least) * (F.length("a") + F.length("b")) + 1e-9))
-    near = near.where((F.size(F.array_except(wa, wb)) > 0) & (F.size(F.array_except(wb, wa)) > 0))
+    edits = F.levenshtein("x", "y") <= F.floor((1 - least) * (F.length("x") + F.length("y")) + 1e-9)
+    met = left.join(right, "sig").where((F.col("x") != F.col("y")) & (F.left("x", F.lit(1)) == F.left("y", F.lit(1))) & (F.length("y") - F.length("x")).between(0, 3) & edits)
+    near = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    wa, wb = F.split("a", " "), F.split("b", " ")
+    return near.where((F.size(F.array_except(wa, wb)) > 0) & (F.size(F.array_except(wb, wa)) > 0))
+
+
+def fuzzy_pairs(keys: DataFrame, key: str = "key", least: float = FUZZY) -> DataFrame:
+    """(a, b, ratio) of candidates (see fuzzy_candidates) whose sequences match."""
+    near = fuzzy_candidates(keys, key, least)
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
