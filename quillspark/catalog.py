@@ -610,19 +610,6 @@ def louvain(spark, d):
     return G.communities(_edges(spark, d))
 
 
-#: Accented letters as signs that no entity has: the SQL's distance counts bytes.
-_ONE_BYTE = "translate({}, 'éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ', '!#$%&()*+,-./:;<=>?@[')"
-
-
-@query(
-    f"""WITH {_TAGGED}, k AS (SELECT DISTINCT entity, left(entity, 1) AS f, length(entity) AS n, {_ONE_BYTE.format('entity')} AS plain, string_split(entity, ' ') AS words FROM t)
-SELECT a.entity AS a, b.entity AS b FROM k a JOIN k b ON a.f = b.f AND abs(a.n - b.n) <= 3 AND a.entity < b.entity
-WHERE levenshtein(a.plain, b.plain) <= floor(0.12 * (a.n + b.n) + 1e-9) AND NOT list_has_all(b.words, a.words) AND NOT list_has_all(a.words, b.words)"""
-)
-def fuzzy_candidates(spark, d):
-    return C.fuzzy_candidates(_tagged(spark, d), "entity")
-
-
 @query()
 def fuzzy_merge(spark, d):
     keys = _tagged(spark, d).select(F.concat_ws(" ", F.col("entity"), F.lit("unit")).alias("key")).distinct()

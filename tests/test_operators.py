@@ -274,33 +274,3 @@ def test_entities_keep_accented_words(spark):
     text = "La función es Präsentation und Élément. Das Haus Überall Big Data. Größe Neue Welt; NASAé ESA identité moción"
     got = spark.createDataFrame([(text,)], "t string").select(S.entities(F.col("t")).alias("e")).first().e
     assert set(got) == {"Big Data", "Neue Welt", "Das Haus", "ESA", "präsentation", "élément"}
-
-
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.text("abé ", max_size=26), max_size=60), st.randoms(use_true_random=False))
-def test_fuzzy_candidates_lose_no_pair(spark, words, rng):
-    """Pieces find every pair that comparing all keys finds, also keys that many edits part."""
-    for w in list(words):
-        for _ in range(3):
-            x = list(w)
-            for _ in range(rng.randrange(1, 7)):
-                at = rng.randrange(len(x) + 1)
-                x[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "é"])
-            words.append("".join(x))
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-        return row[-1]
-
-    want = set()
-    for a in set(words):
-        for b in set(words):
-            if a and b and a < b and a[0] == b[0] and abs(len(a) - len(b)) <= 3 and set(a.split(" ")) - set(b.split(" ")) and set(b.split(" ")) - set(a.split(" ")):
-                if edits(a, b) <= math.floor((1 - C.FUZZY) * (len(a) + len(b)) + 1e-9):
-                    want.add((a, b))
-    got = C.fuzzy_candidates(spark.createDataFrame([(w,) for w in [*words, None]], "key string")).collect()
-    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
