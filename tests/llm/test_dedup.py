@@ -3,9 +3,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import exact_dedup, jaccard_join, line_dedup, vector_dedup
+from quillspark.llm import components as comp
 from quillspark.llm.components import components, contract
 
 UP = {i: i + 32 for i in range(65, 91)}
@@ -262,3 +264,13 @@ def test_contract():
     u, v = (np.array(x) for x in ([9, 9, 5, 30], [1, 5, 2, 31]))
     x, y = contract(u, v)
     assert dict(zip(x.tolist(), y.tolist())) == {9: 1, 5: 1, 2: 1, 31: 30}
+
+
+def test_contract_in_chunks(monkeypatch):
+    """A task with more edges than it contracts at a time gives stars of each chunk, which keep what was joined."""
+    monkeypatch.setattr(comp, "TASK_EDGES", 4)
+    batch = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    parts = [batch([2, 3], [1, 2]), batch([], []), batch([5, 6, 7], [3, 5, 6]), batch([9], [7])]
+    got = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in comp._contract_batches(iter(parts))]
+    assert got == [([2, 3, 5, 6, 7], [1] * 5), ([9], [7])]
+    assert list(comp._contract_batches(iter([]))) == []
