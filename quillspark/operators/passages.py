@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,24 +26,31 @@ def cover_files(ranked: DataFrame, chosen: DataFrame, most: int = 8, question: s
     return both.withColumn("__n", F.row_number().over(Window.partitionBy(question).orderBy("__late", rank))).where(F.col("__n") <= most).drop("__n", "__late")
 
 
+def _rounded(x: float) -> int:
+    whole = math.floor(x)
+    return whole + (x - whole >= 0.5)
+
+
 def best_span(sentences: list[str], most: int = 900) -> tuple[int, int, float]:
     """(start, end, score) of the neighbours with the largest sum of 1 - i / 2n within `most` characters; (0, 1) if none fits.
 
     Scores are positive, so for each start the longest span that fits is best; the first of equal spans wins.
     """
     n = len(sentences)
-    score = [round(1.0 - 0.5 * i / n, 4) for i in range(n)]
-    best, end, chars, held = None, 0, 0, 0.0
+    # in whole ten-thousandths, halves up, so that equal sums are equal
+    score = [_rounded((1.0 - 0.5 * i / n) * 10_000) for i in range(n)]
+    best, end, chars, held = None, 0, 0, 0
     for a in range(n):
         if end < a:
-            end, chars, held = a, 0, 0.0
+            end, chars, held = a, 0, 0
         while end < n and chars + len(sentences[end]) <= most:
             chars, held, end = chars + len(sentences[end]), held + score[end], end + 1
         if end > a:
-            if best is None or held > best[2] + 1e-9:
+            if best is None or held > best[2]:
                 best = (a, end, held)
             chars, held = chars - len(sentences[a]), held - score[a]
-    return best or (0, 1, score[0])
+    a, end, held = best or (0, 1, score[0])
+    return a, end, held / 10_000
 
 
 def best_window(sentences: Column, most: int = 900) -> Column:
