@@ -14,6 +14,8 @@ from quillspark.sources.batches import Batches, table_key
 MAX_LISTS, SAMPLE_BYTES, ROUNDS = 4096, 32 << 20, 10
 #: Vectors, and queries, that meet in one task.
 BLOCK = 8192
+#: Lists of queries, rows of them, and scores that a task holds at once.
+PROBED_AT_ONCE, ROWS_AT_ONCE, SCORES_AT_ONCE = 1 << 20, 1 << 13, 1 << 21
 #: Queries that the number of probes is measured with.
 TUNING_QUERIES = 64
 
@@ -96,33 +98,45 @@ class VectorStore:
     def vectors(self) -> DataFrame:
         return self.batches.read("rows", "id long, vector array<double>, list int")
 
-    def _probed(self, queries: DataFrame, probes: int) -> DataFrame:
-        """(query_id, vector, list) for the nearest lists of each query (query_id, vector)."""
+    def _probed(self, queries: DataFrame, probes: int, groups: int) -> DataFrame:
+        """(query_id, vector, group, lists) for the nearest lists of each query (query_id, vector), a row for each group of lists."""
         centres = self.centres()
+        step = max(1, PROBED_AT_ONCE // max(1, min(probes, len(centres))))
 
         def near(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = _unit(pdf["vector"])
-                order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                at = np.repeat(np.arange(len(x)), order.shape[1])
-                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[at], "vector": list(x[at]), "list": order.ravel()})
-
-        return queries.where("vector IS NOT NULL").mapInPandas(near, f"query_id {dict(queries.dtypes)['query_id']}, vector array<double>, list int")
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
+                    x = _unit(part["vector"])
+                    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                    rows = []
+                    for i, (q, lists) in enumerate(zip(part["query_id"], order)):
+                        of = lists % groups
+                        rows += [(q, x[i], g, lists[of == g].astype(np.int32)) for g in np.unique(of).tolist()]
+                        if len(rows) >= ROWS_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=["query_id", "vector", "group", "lists"])
+                            rows = []
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["query_id", "vector", "group", "lists"])
+
+        return queries.where("vector IS NOT NULL").mapInPandas(near, f"query_id {dict(queries.dtypes)['query_id']}, vector array<double>, group int, lists array<int>")
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query_id, id, score, rank): the k largest cosines in the `probes` lists nearest to each query (query_id, vector).
 
-        Lists meet their queries in blocks of either side, so neither a crowded list nor one that all queries ask for is one
-        task's work. Ties go to the smaller id. With as many probes as lists the search is exact.
+        Lists are put together to groups of about BLOCK rows. Groups meet their queries in blocks of either side, so neither a
+        crowded list nor one that all queries ask for is one task's work; a task scores a bounded number of pairs at once.
+        Ties go to the smaller id. With as many probes as lists the search is exact.
         """
-        rows, asked = self.vectors().select("id", "vector", "list"), self._probed(queries, probes)
-        # a row for each list
-        sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        wanted = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("sides"))
-        cells = F.broadcast(sizes.join(wanted, "list"))
-        deal = lambda df, key, own, n, other, m: df.join(cells, "list").withColumns({own: F.expr(f"pmod(xxhash64({key}), {n})").cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(m) - 1))}).drop("parts", "sides")
+        rows = self.vectors().select("id", "vector", "list")
+        groups = max(1, -(-rows.count() // BLOCK))
+        rows = rows.withColumn("group", F.pmod("list", F.lit(groups)))
+        asked = self._probed(queries, probes, groups)
+        # a row for each group
+        sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        wanted = asked.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("sides"))
+        cells = F.broadcast(sizes.join(wanted, "group"))
+        deal = lambda df, key, own, n, other, m: df.join(cells, "group").withColumns({own: F.expr(f"pmod(xxhash64({key}), {n})").cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(m) - 1))}).drop("parts", "sides")
         left, right = deal(rows, "id", "part", "parts", "side", "sides"), deal(asked, "query_id", "side", "sides", "part", "parts")
         kinds = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
 
@@ -130,11 +144,21 @@ class VectorStore:
             if not len(x) or not len(q):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
             x = x.sort_values("id", ignore_index=True)
-            scores = np.stack(q["vector"]) @ np.stack(x["vector"]).T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "id": x["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-        keys = ["list", "part", "side"]
+            ids, vectors = x["id"].to_numpy(), np.stack(x["vector"])
+            held, at = np.unique(x["list"].to_numpy(), return_inverse=True)
+            step, out = max(1, SCORES_AT_ONCE // len(x)), []
+            for a in range(0, len(q), step):
+                some = q.iloc[a : a + step]
+                scores = np.stack(some["vector"]) @ vectors.T
+                asks = np.stack([np.isin(held, lists) for lists in some["lists"]])
+                if not asks.all():
+                    scores = np.where(asks[:, at], scores, -np.inf)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+                out.append(found[found["score"] > -np.inf])
+            return pd.concat(out, ignore_index=True)
+
+        keys = ["group", "part", "side"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, kinds)
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
