@@ -43,8 +43,9 @@ class LexicalIndex:
         hits.withColumn("part", _part(F.col("token"))).repartitionByRange("part", "token", "id").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{folder}/postings")
         written = self.spark.read.schema(f"id {dict(named.dtypes)['id']}, dl int, token string, tf long, part int").parquet(f"{folder}/postings")
         written.groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
-        n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
-        self.batches.commit(batch, key, folder, n["n"], n["total"])
+        # texts are parted into tokens once: their number is that of the postings' occurrences
+        total = written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).first()["total"]
+        self.batches.commit(batch, key, folder, named.count(), total)
         return True
 
     def size(self) -> tuple[int, int]:
