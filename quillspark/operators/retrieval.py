@@ -40,15 +40,34 @@ def weight(tf: Column, dl: Column, mean: Column) -> Column:
 def bm25(chunks: DataFrame, questions: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(query_id, id, score) of all chunks with a token of the question; questions: (query_id, query).
 
-    Query tokens count as often as they stand in the question. Tokens of the chunks join those of the questions before
-    anything is counted, so postings hold asked tokens alone; they are written once for frequencies and scores.
+    Query tokens count as often as they stand in the question. Each text is read once, for its length and the asked tokens
+    that it holds; that is written for frequencies and scores.
     """
-    asked = questions.select("query_id", F.explode(T.content_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+    asked = _asked(questions)
+    rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(text).alias("tokens")).crossJoin(F.broadcast(_wanted(asked, "wanted")))
+    return _scores(cut(rows.select("id", F.size("tokens").alias("dl"), _hits("tokens", "wanted").alias("hits"))), asked)
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    """(query_id, token, times) of questions (query_id, query)."""
+    return questions.select("query_id", F.explode(T.content_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+
+
+def _wanted(tokens: DataFrame, name: str, token: str = "token") -> DataFrame:
+    """One row with the distinct tokens, bounded by the questions asked."""
+    return tokens.agg(F.collect_set(token).alias(name))
+
+
+def _hits(tokens: str, wanted: str) -> Column:
+    """(token, tf) of the tokens that are wanted."""
+    return F.transform(F.array_intersect(tokens, wanted), lambda t: F.struct(t.alias("token"), F.size(F.filter(tokens, lambda x: x == t)).cast("long").alias("tf")))
+
+
+def _scores(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, score) from rows (id, dl, hits) of all chunks and asked (query_id, token, times)."""
     # documents without tokens count towards the mean length
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    hits = rows.select("id", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    postings = cut(hits.groupBy("id", "dl", "token").agg(F.count("*").alias("tf")))
+    postings = rows.select("id", "dl", F.explode("hits").alias("h")).groupBy("id", "dl", "h.token").agg(F.sum("h.tf").alias("tf"))
     terms = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     terms = terms.select("token", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
     scored = postings.join(terms.join(asked, "token"), "token")
@@ -66,8 +85,15 @@ def multi_query(chunks: DataFrame, questions: DataFrame, id_col: str, text: Colu
 
     questions: (question_id, queries array).
     """
-    fan = questions.select("question_id", F.posexplode("queries").alias("i", "query")).withColumn("query_id", F.struct("question_id", "i"))
-    best = top(bm25(chunks, fan, id_col, text).where("score > 0"), k)
+    return _best_of(bm25(chunks, _fan(questions), id_col, text), k)
+
+
+def _fan(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.posexplode("queries").alias("i", "query")).withColumn("query_id", F.struct("question_id", "i"))
+
+
+def _best_of(scores: DataFrame, k: int) -> DataFrame:
+    best = top(scores.where("score > 0"), k)
     return best.groupBy(F.col("query_id.question_id").alias("question_id"), "id").agg(F.max("score").alias("bm25"))
 
 
@@ -78,21 +104,25 @@ def composite_rank(chunks: DataFrame, questions: DataFrame, id_col: str, text_co
     hinted file weigh HINT_BOOST. Ties go to the smaller id.
     """
     fanned = questions.select("question_id", F.concat(F.slice("queries", 1, 1), F.array(F.array_join("key_terms", " ")), "sub_questions").alias("queries"))
-    best = multi_query(chunks, fanned, id_col, index_text(heading, F.col(text_col)))
+    fan = _asked(_fan(fanned))
     said = F.concat_ws(" ", F.array_join("queries", " "), F.array_join("key_terms", " "), F.array_join("sub_questions", " "), "hypothetical_answer", "focus")
     asked = questions.select("question_id", F.array_distinct(T.content_tokens(said)).alias("asked"), F.transform("key_terms", F.lower).alias("phrases"), "hinted_files")
-    rows = chunks.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"), F.lower(F.coalesce(heading, F.lit(""))).alias("head"), F.array_distinct(T.content_tokens(F.col(text_col))).alias("own"))
-    # the share of a question's tokens, by token
     tokens = asked.select("question_id", F.size("asked").alias("n"), F.explode("asked").alias("token"))
-    shared = rows.select("id", F.explode("own").alias("token")).join(tokens, "token").groupBy("question_id", "id").agg((F.count("*") / F.first("n")).alias("extra"))
-    # phrases may stand within words, so each one is looked for; what finds none leaves no row
     phrases = asked.select("question_id", F.explode("phrases").alias("phrase"))
-    wanted = phrases.agg(F.collect_set("phrase").alias("wanted"))  # one row, bounded by the questions asked
-    bonus = F.transform("wanted", lambda p: F.struct(p.alias("phrase"), (PHRASE_BONUS * F.contains("low", p).cast("int") + HEADING_BONUS * F.contains("head", p).cast("int")).alias("extra")))
-    said_in = rows.crossJoin(F.broadcast(wanted)).select("id", F.explode(F.filter(bonus, lambda x: x["extra"] > 0)).alias("x"))
-    said_in = said_in.select("id", F.col("x.phrase").alias("phrase"), F.col("x.extra").alias("extra")).join(phrases, "phrase")
+    rows = chunks.select(F.col(id_col).alias("id"), file.alias("file"), F.lower(text_col).alias("low"), F.lower(F.coalesce(heading, F.lit(""))).alias("head"), T.content_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("own"), T.content_tokens(F.coalesce(heading, F.lit(""))).alias("above"))
+    for one in (_wanted(fan, "wanted"), _wanted(tokens, "share"), _wanted(phrases, "phrases", "phrase")):
+        rows = rows.crossJoin(F.broadcast(one))
+    # phrases may stand within words, so each one is looked for; what finds none leaves no row
+    bonus = F.transform("phrases", lambda p: F.struct(p.alias("phrase"), (PHRASE_BONUS * F.contains("low", p).cast("int") + HEADING_BONUS * F.contains("head", p).cast("int")).alias("extra")))
+    # a text is read once; a heading's tokens come before its own, which no token joins over the space between them
+    rows = rows.withColumn("indexed", F.concat("above", "own")).select("id", "file", F.size("indexed").alias("dl"), _hits("indexed", "wanted").alias("hits"), F.array_intersect("own", "share").alias("own"), F.filter(bonus, lambda x: x["extra"] > 0).alias("said"))
+    rows = cut(rows)
+    best = _best_of(_scores(rows, fan), TOP_K)
+    # the share of a question's tokens, by token
+    shared = rows.select("id", F.explode("own").alias("token")).join(tokens, "token").groupBy("question_id", "id").agg((F.count("*") / F.first("n")).alias("extra"))
+    said_in = rows.select("id", F.explode("said").alias("x")).select("id", F.col("x.phrase").alias("phrase"), F.col("x.extra").alias("extra")).join(phrases, "phrase")
     parts = shared.select("question_id", "id", "extra").unionByName(said_in.select("question_id", "id", "extra")).unionByName(best.select("question_id", "id", F.col("bm25").alias("extra")))
-    each = parts.groupBy("question_id", "id").agg(F.sum("extra").alias("raw")).join(chunks.select(F.col(id_col).alias("id"), file.alias("file")), "id")
+    each = parts.groupBy("question_id", "id").agg(F.sum("extra").alias("raw")).join(rows.select("id", "file"), "id")
     each = each.join(asked.select("question_id", "hinted_files"), "question_id")
     boost = F.when(F.array_contains("hinted_files", F.col("file")), HINT_BOOST).otherwise(1.0)
     scored = each.select("question_id", "id", (F.col("raw") * boost).alias("raw")).where("raw > 0")
