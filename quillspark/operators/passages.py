@@ -71,10 +71,10 @@ def best_window(sentences: Column, most: int = 900) -> Column:
     return run(sentences)
 
 
-def evidence_sentences(text: Column, most: int = 900) -> Column:
-    """Sentences of a parent's text; if none is left, its first characters are one."""
+def evidence_sentences(text: Column, most: int | None = None) -> Column:
+    """Sentences of a text; if none is left, the text is one, its first `most` characters if given."""
     found = T.sentences_qa(text)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.left(text, F.lit(most))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(text if most is None else F.left(text, F.lit(most))))
 
 
 def within_budget(blocks: DataFrame, most: int, order: str, length: Column, by: str = "question_id", keep_first: bool = True, few: bool = False) -> DataFrame:
